@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pelorus.llm.bpe import encode_corpus
 from pelorus.llm.conversations import conversations, drop_reasons
+from pelorus.llm.leakage import leaked_items
 from pelorus.llm.percentiles import merge_counts, percentiles, value_counts
 from pelorus.sources.tables import table
 
@@ -73,8 +74,13 @@ def p6_ids(spark: SparkSession, directory: str, tokenizers: str = TOKENIZERS) ->
     return encode_corpus(table(spark, directory, "documents"), id_col="doc_id", text_col="text", ranks_path=f"{tokenizers}/byte_bpe_50k.tiktoken", pattern=WORDS)
 
 
+def p7_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents that hold wording of evaluation items."""
+    return leaked_items(table(spark, directory, "documents"), table(spark, directory, "eval_items"), doc_id="doc_id", doc_text="text", item_id="item_id", item_text="text")
+
+
 def queries() -> dict:
-    own = (p2_percentiles, p2_exact_by_status, p2_merged_days, p5_found, p5_conversations, p6_ids)
+    own = (p2_percentiles, p2_exact_by_status, p2_merged_days, p5_found, p5_conversations, p6_ids, p7_found)
     return {q.__name__: q for q in own}
 
 
