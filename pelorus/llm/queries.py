@@ -9,6 +9,7 @@ from pelorus.llm.bpe import encode_corpus
 from pelorus.llm.conversations import conversations, drop_reasons
 from pelorus.llm.leakage import leaked_items
 from pelorus.llm.percentiles import merge_counts, percentiles, value_counts
+from pelorus.llm.readability import DEMANDING, reading_grades
 from pelorus.sources.tables import table
 
 #: Percentiles in ten thousandths.
@@ -79,8 +80,18 @@ def p7_found(spark: SparkSession, directory: str) -> DataFrame:
     return leaked_items(table(spark, directory, "documents"), table(spark, directory, "eval_items"), doc_id="doc_id", doc_text="text", item_id="item_id", item_text="text")
 
 
+def p8_grades(spark: SparkSession, directory: str) -> DataFrame:
+    """Reading grade of every document, null where it has none."""
+    return reading_grades(table(spark, directory, "documents"), id_col="doc_id", text_col="text")
+
+
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    """English prose of reading level 4 or 5."""
+    return p8_grades(spark, directory).where(F.col("grade") >= DEMANDING).select("doc_id")
+
+
 def queries() -> dict:
-    own = (p2_percentiles, p2_exact_by_status, p2_merged_days, p5_found, p5_conversations, p6_ids, p7_found)
+    own = (p2_percentiles, p2_exact_by_status, p2_merged_days, p5_found, p5_conversations, p6_ids, p7_found, p8_found, p8_grades)
     return {q.__name__: q for q in own}
 
 
