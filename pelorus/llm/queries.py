@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pelorus.llm.bpe import encode_corpus
 from pelorus.llm.conversations import conversations, drop_reasons
 from pelorus.llm.leakage import leaked_items
+from pelorus.llm.pairs import pair_defects
 from pelorus.llm.percentiles import merge_counts, percentiles, value_counts
 from pelorus.llm.readability import DEMANDING, reading_grades
 from pelorus.sources.tables import table
@@ -57,6 +58,12 @@ def p2_merged_days(spark: SparkSession, directory: str) -> DataFrame:
     return percentiles(merge_counts(by_day, ["response_status"]), ["response_status"], PER_MYRIAD)
 
 
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Requests whose response fails, with the defect."""
+    asked = table(spark, directory, "llm_requests").where(F.col("requested_at_utc").isNotNull() & F.col("user_prompt").isNotNull())
+    return pair_defects(asked, id_col="llm_request_id", prompt_col="user_prompt", response_col="response_text")
+
+
 _MESSAGES = {"key": "agent_task_id", "turn": "turn_number", "role": "role", "content": "content"}
 
 
@@ -91,7 +98,7 @@ def p8_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (p2_percentiles, p2_exact_by_status, p2_merged_days, p5_found, p5_conversations, p6_ids, p7_found, p8_found, p8_grades)
+    own = (p2_percentiles, p2_exact_by_status, p2_merged_days, p3_found, p5_found, p5_conversations, p6_ids, p7_found, p8_found, p8_grades)
     return {q.__name__: q for q in own}
 
 
