@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,10 +23,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and return a DataFrame that reads it.
+    """Write ``df`` as a Parquet table to the shared checkpoint folder and return a DataFrame that reads it.
 
     The copy survives the loss of executors, and values that depend on task placement (such as
-    ``spark_partition_id``) stay as they were.
+    ``spark_partition_id``) stay as they were. Columns are compressed, which a checkpointed RDD's rows are not.
+    The tables lie in ``pelorus-tables`` of the session's checkpoint folder; :func:`drop_tables` deletes them.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/pelorus-tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the tables that :func:`cut` wrote in this session; DataFrames that read them can't be used after it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/pelorus-tables")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
