@@ -29,6 +29,17 @@ def quantised(value: Column, bits: int | None) -> Column:
     return F.when(size == 0, F.lit(0.0)).otherwise(F.signum(value) * F.floor(size / step) * step)
 
 
+def compact_id(name: Column) -> Column:
+    """A UUID in lower case as its 16 bytes, any other text as its own bytes; null stays null. Equal only if equal."""
+    uuid = F.rlike(name, F.lit("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"))
+    return F.when(uuid, F.unhex(F.translate(name, "-", ""))).otherwise(F.concat(F.lit("id ").cast("binary"), name.cast("binary"), F.lit(" of no fixed size").cast("binary")))
+
+
+def is_value(number: Column) -> Column:
+    """Neither null nor NaN nor infinite."""
+    return number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf"))
+
+
 def value_counts(df: DataFrame, groups: Sequence[str], value: str, *, bits: int | None = None) -> DataFrame:
     """The mergeable summary ``(*groups, value, n)`` of a numeric column.
 
@@ -37,8 +48,7 @@ def value_counts(df: DataFrame, groups: Sequence[str], value: str, *, bits: int
     up before the shuffle. An empty table gives an empty summary.
     """
     number = F.col(value).cast("double")
-    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf"))
-    return df.where(finite).select(*groups, quantised(number, bits).alias("value")).groupBy(*groups, "value").agg(F.count(F.lit(1)).alias("n"))
+    return df.where(is_value(number)).select(*groups, quantised(number, bits).alias("value")).groupBy(*groups, "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def merge_counts(counts: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -54,7 +64,8 @@ def percentiles(counts: DataFrame, groups: Sequence[str], per_myriad: Sequence[i
     partitions and each sums its own part only. The parts' totals, one row per group and partition, give the offsets.
     Which partition holds which row is fixed by a copy in the shared checkpoint folder. Null keys match each other.
     """
-    sorted_parts = cut(counts.repartitionByRange(*(F.col(g) for g in groups), F.col("value")).withColumn("_part", F.spark_partition_id()))
+    order = [F.col(g) for g in groups] + [F.col("value")]
+    sorted_parts = cut(counts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
     totals = sorted_parts.groupBy(*groups, "_part").agg(F.sum("n").alias("_n"))
     by_group = Window.partitionBy(*groups)
     targets = (

@@ -9,7 +9,7 @@ from pelorus.llm.bpe import encode_corpus
 from pelorus.llm.conversations import conversations, drop_reasons
 from pelorus.llm.leakage import leaked_items
 from pelorus.llm.pairs import pair_defects
-from pelorus.llm.percentiles import merge_counts, percentiles, value_counts
+from pelorus.llm.percentiles import compact_id, is_value, merge_counts, percentiles, quantised, value_counts
 from pelorus.llm.readability import DEMANDING, reading_grades
 from pelorus.sources.tables import table
 
@@ -23,26 +23,35 @@ TOKENIZERS = "/opt/tokenizers"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _requests(spark: SparkSession, directory: str, *columns: str) -> DataFrame:
-    """Requests with copies of a row taken once."""
-    return table(spark, directory, "http_requests").select("http_request_id", *columns).distinct()
+def _requests(spark: SparkSession, directory: str, *columns: str, bits: int | None = None) -> DataFrame:
+    """Requests with copies of a row taken once; numbers are cut to ``bits`` and times to days before the shuffle."""
+    kept = []
+    for c in columns:
+        number = F.col(c).cast("double")
+        if c == "requested_at_utc":
+            kept.append(F.col(c).cast("date").alias("day"))
+        elif c in ("latency", "response_size"):
+            kept.append(F.when(is_value(number), quantised(number, bits)).alias(c))
+        else:
+            kept.append(F.col(c))
+    return table(spark, directory, "http_requests").select(compact_id(F.col("http_request_id")).alias("id"), *kept).distinct()
 
 
 def p2_percentiles(spark: SparkSession, directory: str) -> DataFrame:
     """Percentiles of latency and size per status, group and day, within a relative error of 2**-10."""
-    rows = _requests(spark, directory, "response_status", "http_request_group_id", "requested_at_utc", "latency", "response_size").select(
+    rows = _requests(spark, directory, "response_status", "http_request_group_id", "requested_at_utc", "latency", "response_size", bits=BITS).select(
         F.explode(
             F.array(
                 F.struct(F.lit("status").alias("dimension"), F.col("response_status").cast("string").alias("key")),
                 F.struct(F.lit("group").alias("dimension"), F.col("http_request_group_id").alias("key")),
-                F.struct(F.lit("day").alias("dimension"), F.col("requested_at_utc").cast("date").cast("string").alias("key")),
+                F.struct(F.lit("day").alias("dimension"), F.col("day").cast("string").alias("key")),
             )
         ).alias("d"),
-        F.array(F.struct(F.lit("latency").alias("measure"), F.col("latency").alias("x")), F.struct(F.lit("response_size").alias("measure"), F.col("response_size").cast("double").alias("x"))).alias("m"),
+        F.array(F.struct(F.lit("latency").alias("measure"), F.col("latency").alias("x")), F.struct(F.lit("response_size").alias("measure"), F.col("response_size").alias("x"))).alias("m"),
     )
     values = rows.select("d.dimension", "d.key", F.explode("m").alias("m")).select("dimension", "key", "m.measure", "m.x")
     groups = ["dimension", "key", "measure"]
-    return percentiles(value_counts(values, groups, "x", bits=BITS), groups, PER_MYRIAD)
+    return percentiles(value_counts(values, groups, "x"), groups, PER_MYRIAD)
 
 
 def p2_exact_by_status(spark: SparkSession, directory: str) -> DataFrame:
@@ -53,8 +62,8 @@ def p2_exact_by_status(spark: SparkSession, directory: str) -> DataFrame:
 
 def p2_merged_days(spark: SparkSession, directory: str) -> DataFrame:
     """Percentiles of size per status from summaries of single days put together."""
-    rows = _requests(spark, directory, "response_status", "requested_at_utc", "response_size").withColumn("day", F.col("requested_at_utc").cast("date"))
-    by_day = value_counts(rows, ["day", "response_status"], "response_size", bits=BITS)
+    rows = _requests(spark, directory, "response_status", "requested_at_utc", "response_size", bits=BITS)
+    by_day = value_counts(rows, ["day", "response_status"], "response_size")
     return percentiles(merge_counts(by_day, ["response_status"]), ["response_status"], PER_MYRIAD)
 
 
