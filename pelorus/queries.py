@@ -341,7 +341,7 @@ def markdown_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", text.markdown_row(F.col("n_name"), F.col("n_regionkey")).alias("line"))
 
 
-@_query("SELECT DISTINCT agent_task_id, CAST(date_diff('millisecond', started_at_utc, completed_at_utc) AS BIGINT) AS ms FROM agent_tasks")
+@_query("SELECT DISTINCT agent_task_id, CAST(date_sub('millisecond', started_at_utc, completed_at_utc) AS BIGINT) AS ms FROM agent_tasks")
 def task_duration_ms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "agent_tasks").select("agent_task_id", numbers.duration_ms(F.col("started_at_utc"), F.col("completed_at_utc")).alias("ms")).distinct()
 
