@@ -64,10 +64,11 @@ def _paragraph(lines: list[str]) -> list[str]:
             else:
                 units.append(x)
         return units
-    follow = lines[1:]
-    going_on = sum(not _CLOSED.search(a) and (b.lstrip()[:1].islower() or b.lstrip()[:1].isdigit() or len(a) + len(b.split(None, 1)[0]) >= max(map(len, lines))) for a, b in zip(lines, follow))
-    lower = sum(b.lstrip()[:1].islower() for b in follow)
-    if follow and lower * 4 >= len(follow) and going_on * 2 >= len(follow):
+    widest = max(map(len, lines))
+    breaks = [(a, b.lstrip()) for a, b in zip(lines, lines[1:]) if not _CLOSED.search(a)]  # the others part sentences either way
+    lower = sum(b[:1].islower() for _, b in breaks)
+    going_on = sum(b[:1].islower() or b[:1].isdigit() or len(a) + len(b.split(None, 1)[0]) >= widest for a, b in breaks)
+    if lower * 4 >= len(breaks) and going_on * 2 >= len(breaks):
         return [" ".join(x.strip() for x in lines)]
     return lines
 
