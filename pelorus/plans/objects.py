@@ -235,7 +235,8 @@ class Table(DataObject):
 
     def _to_csv(self, path: str, sep: str = ",") -> None:
         """One directory of part files with a header each; quotes are doubled, times are plain."""
-        self.df.write.csv(path, header=True, sep=sep, quote='"', escape='"', timestampNTZFormat="yyyy-MM-dd HH:mm:ss[.SSSSSS]")
+        options = {"header": "true", "sep": sep, "quote": '"', "escape": '"', "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]"}
+        self.df.write.options(**options).csv(path)
 
     def _to_tsv(self, path: str) -> None:
         self._to_csv(path, "\t")
