@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 #: The automaton. From the state before a turn (the last turn's role), the roles the turn may have.
 NEXT = {"": "system user", "system": "user", "user": "assistant", "assistant": "user tool", "tool": "assistant"}
+#: Roles as numbers, so that turns are added up in a hash table; any other role is UNKNOWN and accepted nowhere.
+ROLES = {role: n for n, role in enumerate(NEXT)}
+UNKNOWN = len(ROLES)
 #: Anything that can be seen: no white space, separator, control or invisible format character.
 VISIBLE = r"[^\s\p{Z}\p{Cc}\p{Cf}]"
 _BLANK = r"^[\s\p{Z}\p{Cc}\p{Cf}]+|[\s\p{Z}\p{Cc}\p{Cf}]+$"
@@ -22,7 +25,9 @@ def is_visible(content: Column) -> Column:
 
 def _turns(df: DataFrame, key: str, turn: str, role: str, content: str) -> DataFrame:
     """One row per turn; added up before the shuffle, however many copies a turn has."""
-    who, seen = clean_role(F.col(role)), is_visible(F.col(content))
+    who, seen = F.lit(UNKNOWN), is_visible(F.col(content))
+    for name, n in ROLES.items():
+        who = F.when(clean_role(F.col(role)) == name, n if name else UNKNOWN).otherwise(who)
     return (
         df.where(F.col(key).isNotNull())
         .select(F.col(key).alias("_key"), F.col(turn).cast("bigint").alias("_turn"), who.alias("_role"), seen.alias("_seen"))
@@ -31,7 +36,7 @@ def _turns(df: DataFrame, key: str, turn: str, role: str, content: str) -> DataF
             F.min("_role").alias("_first"),
             F.max("_role").alias("_last"),
             F.max("_seen").alias("_seen"),
-            F.max(F.col("_seen") & F.col("_role").isin("user", "assistant")).alias("_spoken"),
+            F.max(F.col("_seen") & F.col("_role").isin(ROLES["user"], ROLES["assistant"])).alias("_spoken"),
         )
     )
 
@@ -54,12 +59,12 @@ def drop_reasons(df: DataFrame, *, key: str, turn: str, role: str, content: str,
     edge = F.col("_turn") % block == block - 1
     placed = turns.withColumn("_block", F.explode(F.when(edge, F.array(at, at + 1)).otherwise(F.array(at)))).withColumn("_own", F.col("_block") == at)
     order = Window.partitionBy("_key", "_block").orderBy("_turn")
-    allowed = F.create_map(*(x for state, roles in NEXT.items() for x in (F.lit(state), F.array(*(F.lit(r) for r in roles.split())))))
     before_turn, before = F.lag("_turn").over(order), F.lag("_last").over(order)
-    accepted = (F.col("_first") == F.col("_last")) & (
-        F.when(F.col("_turn") == 0, F.array_contains(F.try_element_at(allowed, F.lit("")), F.col("_first")))
-        .otherwise((before_turn == F.col("_turn") - 1) & F.array_contains(F.try_element_at(allowed, before), F.col("_first")))
-    )
+    state = F.when(F.col("_turn") == 0, ROLES[""]).when(before_turn == F.col("_turn") - 1, before)
+    step = F.lit(False)
+    for name, roles in NEXT.items():
+        step = F.when(state == ROLES[name], F.col("_first").isin([ROLES[r] for r in roles.split()])).otherwise(step)
+    accepted = (F.col("_first") == F.col("_last")) & step
     return (
         placed.withColumn("_ok", F.coalesce(accepted, F.lit(False)))
         .where("_own")
@@ -68,11 +73,11 @@ def drop_reasons(df: DataFrame, *, key: str, turn: str, role: str, content: str,
             F.max("_spoken").alias("spoken"),
             F.min("_ok").alias("ok"),
             F.max_by("_last", "_turn").alias("last"),
-            F.max((F.col("_last") == "assistant") & ~F.col("_seen")).alias("mute"),
+            F.max((F.col("_last") == ROLES["assistant"]) & ~F.col("_seen")).alias("mute"),
         )
         .select(
             F.col("_key").alias(key),
-            F.when(~F.col("spoken"), "empty").when(~F.col("ok"), "broken").when((F.col("last") != "assistant") | F.col("mute"), "no_reply").alias("reason"),
+            F.when(~F.col("spoken"), "empty").when(~F.col("ok"), "broken").when((F.col("last") != ROLES["assistant"]) | F.col("mute"), "no_reply").alias("reason"),
         )
         .where(F.col("reason").isNotNull())
     )
