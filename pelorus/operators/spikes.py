@@ -2,7 +2,8 @@
 
 The work is split by source *and* by blocks of consecutive readings, so a source that holds a third of all
 rows is spread over many tasks. A block carries a few readings of its neighbours (the halo), which is all that
-the local tests need.
+the local tests need. Each reading's tests are written once to the shared checkpoint folder and read twice, for the
+sources' scales and for the readings beyond them.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pelorus.plans.lineage import cut
+
 #: Blanks around a name: white space, separators, control and invisible format characters.
 BLANK = r"^[\s\p{Z}\p{C}]+|[\s\p{Z}\p{C}]+$"
 
@@ -115,7 +118,7 @@ def flag_implausible(
     near = F.array_sort(F.array_compact(F.array(*(x[k] for k in range(-half_window, half_window + 1)))))
     count = F.size("_near")
     middle = (F.element_at("_near", F.floor((count + 1) / 2).cast("int")) + F.element_at("_near", (F.floor(count / 2) + 1).cast("int"))) / 2
-    seen = (
+    seen = cut(
         blocks.select(
             "*",
             *((F.lag if k < 0 else F.lead)("_value", abs(k)).over(order).alias(f"_at{k + reach}") for k in around),
@@ -141,13 +144,12 @@ def flag_implausible(
             F.lit(0.05),
         ).alias("_scale")
     )
-    jumps = (
-        seen.where((F.col("_off") > 0) & (F.col("_deviation") > 0))
+    jump = (F.col("_deviation") > F.col("_scale") * gate) & (F.col("_off") > F.col("_scale") * factor)
+    stuck = F.col("_length") >= stuck_run
+    flagged = (
+        seen.where(((F.col("_off") > 0) & (F.col("_deviation") > 0)) | stuck)
         .join(scales, "_source")
-        .where((F.col("_deviation") > F.col("_scale") * gate) & (F.col("_off") > F.col("_scale") * factor))
-        .select("_source", "_ts", "_value", F.lit("jump").alias("reason"))
+        .select("_source", "_ts", "_value", F.explode(F.array_compact(F.array(F.when(jump, F.lit("jump")), F.when(stuck, F.lit("stuck"))))).alias("reason"))
     )
-    stuck = seen.where(F.col("_length") >= stuck_run).select("_source", "_ts", "_value", F.lit("stuck").alias("reason"))
-    flagged = jumps.unionByName(stuck)
     rows = plausible.join(flagged, ["_source", "_ts", "_value"]).select("_id", "reason")
     return bounds.unionByName(rows).distinct().select(F.col("_id").alias(id_col), "reason")
