@@ -34,7 +34,7 @@ _WORD = re.compile(r"[A-Za-zÀ-ɏ]+(?:['’-][A-Za-zÀ-ɏ]+)*")
 _ABBREVIATED = re.compile(r"\b(?:e\.g|i\.e|cf|approx|Approx|sect|Sect|fig|Fig|eq|Eq|no|No|vs|etc|al|ca|Dr|Mr|Mrs|Ms|St|a\.m|p\.m|max|min|resp)\.")
 _END = re.compile(r"[.!?…]+[\"'”’)\]]*(?=\s+[\"'“‘(\[]?[A-Z0-9])|;\s+(?=[A-Z])|[.!?…]+[\"'”’)\]]*\s*$")
 _CLOSED = re.compile(r"[.!?…:;][\"'”’)\]*_]*\s*$")
-_INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 
 
 @lru_cache(maxsize=200_000)
@@ -83,7 +83,7 @@ def sentences(text: str) -> tuple[list[list[str]], int]:
     """The words of each prose sentence, without headings, code, tables, links, quoted passages and stray lines; and
     how many characters stand in all lines but fenced code, headings and quoted lines, white space apart."""
     text = _INVISIBLE.sub("", text).replace("\r\n", "\n")
-    text = re.sub("[\x0b\x0c\x1c-\x1f\x85  \r]", "\n", text)
+    text = re.sub("[\x0b\x0c\x1c-\x1f\x85\u2028\u2029\r]", "\n", text)
     text = _URL.sub(" ", _TAG.sub("", _FENCE.sub("\n\n", text)))
     paragraphs: list[list[str]] = [[]]
     size = 0
