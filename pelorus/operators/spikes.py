@@ -86,7 +86,7 @@ def flag_implausible(
     longest_jump: int = 3,
     stuck_run: int = 12,
     gate: float = 2.0,
-    factor: float = 3.0,
+    factor: float = 3.3,
     block: int = 8192,
     span_hours: int = 1536,
 ) -> DataFrame:

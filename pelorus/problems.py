@@ -61,7 +61,7 @@ scales AS (
   SELECT c, greatest(min(CASE WHEN upto * 2 >= n THEN bin END) * 0.01::DOUBLE * 1.4826, min(CASE WHEN upto * 20 >= n * 19 THEN bin END) * 0.01::DOUBLE, 0.05) AS scale
   FROM upto GROUP BY c),
 flagged AS (
-  SELECT c, ts_utc, v, 'jump' AS reason FROM off JOIN scales USING (c) WHERE dev > scale * 2 AND off > scale * 3
+  SELECT c, ts_utc, v, 'jump' AS reason FROM off JOIN scales USING (c) WHERE dev > scale * 2 AND off > scale * 3.3
   UNION ALL SELECT c, ts_utc, v, 'stuck' FROM off WHERE run >= 12),
 found AS (
   SELECT obs_id, 'bounds' AS reason FROM raw WHERE NOT (temp_c BETWEEN -95 AND 62)

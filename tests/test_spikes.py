@@ -47,7 +47,7 @@ def plain(rows, low=-95.0, high=62.0):
                         a, b = v[first - 1], v[first + length]
                         d = [v[first + j] - (a + (b - a) * (j + 1) / (length + 1)) for j in range(length)]
                         off = max(off, max(min(d), -max(d)) - abs(b - a))
-            if off > 0 and deviation[k] > 2 * scale and off > 3 * scale:
+            if off > 0 and deviation[k] > 2 * scale and off > 3.3 * scale:
                 out |= {(i, "jump") for i in readings[keys[k]]}
         k = 0
         while k < n:
