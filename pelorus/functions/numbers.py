@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,13 @@ def minute_timestamp(text: Column) -> Column:
     return text.try_cast("timestamp_ntz")
 
 
+def utc_now(at: datetime | None = None) -> Column:
+    """The time now, or a given one where results must repeat, as ``timestamp_ntz`` in UTC."""
+    if at is not None:
+        return F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.convert_timezone(None, F.lit("UTC"), F.localtimestamp())
+
+
 def or_zero(value: Column) -> Column:
     return F.coalesce(value.cast("double"), F.lit(0.0))
 
