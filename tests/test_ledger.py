@@ -72,6 +72,8 @@ def test_predicates_on_unknown_status(spark):
         return {r.http_request_id for r in x.collect()}
 
     assert ids(ledger.failed(df, ledger.HTTP)) == {"b"} and ids(df.where(ledger.HTTP.not_ok())) == {"b", "c", "d", "e"} and ids(ledger.pending(df, ledger.HTTP)) == {"c"} and ids(ledger.current(df)) == {"a", "b", "c", "e"}
+    grouped = df.withColumn("g", F.when(F.col("http_request_id") < "c", "one").otherwise("two"))
+    assert ids(ledger.failed(grouped, ledger.HTTP, ("g", "one"))) == {"b"} and ids(ledger.pending(grouped, ledger.HTTP, ("g", "one"))) == set() and ids(ledger.pending(grouped, ledger.HTTP, ("g", "two"))) == {"c"}
     row = ledger.failure_rate(df, ledger.HTTP).first()
     assert (row.total, row.failed) == (4, 1) and ledger.failure_rate(df.limit(0), ledger.HTTP).first().rate == 0.0
     assert ledger.error_breakdown(df).first()[0] == "no_status:2,http500:1" and ledger.error_breakdown(df.limit(0)).first()[0] == "none"
