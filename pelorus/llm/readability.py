@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from statistics import median
 
 from pyspark.sql import DataFrame
@@ -28,16 +27,16 @@ _FENCE = re.compile(r"^\s*(?:```|~~~)[^\n]*\n.*?(?:^\s*(?:```|~~~)[^\n]*$|\Z)",
 _TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,200}>")
 _URL = re.compile(r"\[([^\]\n]{0,300})\]\([^()\s]{0,500}\)|<?\b(?:https?|ftp)://\S+|\bwww\.\S+")
 _QUOTED = re.compile(r"[\"“„«»][^\"“”„«»\n]{12,}[\"”“«»]")
+_QUOTES = frozenset("\"“”„«»")
 _BULLET = re.compile(r"^\s*(?:[-*+•‣·]|\(?\d{1,3}[.)]|\(?[a-z]\))\s+")
 _NOISE = re.compile(r"[{}\[\]|=<>\\_@#$^~`]|;\S|::|\(\)|\t|://|\w=\w")
 _WORD = re.compile(r"[A-Za-zÀ-ɏ]+(?:['’-][A-Za-zÀ-ɏ]+)*")
-_ABBREVIATED = re.compile(r"\b(?:e\.g|i\.e|cf|approx|Approx|sect|Sect|fig|Fig|eq|Eq|no|No|vs|etc|al|ca|Dr|Mr|Mrs|Ms|St|a\.m|p\.m|max|min|resp)\.")
+_ABBREVIATED = re.compile(r"\b(?:cf|approx|Approx|sect|Sect|fig|Fig|eq|Eq|no|No|vs|etc|al|ca|Dr|Mr|Mrs|Ms|St|a\.m|p\.m|max|min|resp)\.$")
 _END = re.compile(r"[.!?…]+[\"'”’)\]]*(?=\s+[\"'“‘(\[]?[A-Z0-9])|;\s+(?=[A-Z])|[.!?…]+[\"'”’)\]]*\s*$")
 _CLOSED = re.compile(r"[.!?…:;][\"'”’)\]*_]*\s*$")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 
 
-@lru_cache(maxsize=200_000)
 def syllables(word: str) -> int:
     """Syllables of an English word by rules in the manner of hyphenation: vowel groups are nuclei, silent endings are
     none, and some vowel pairs are parted."""
@@ -82,9 +81,14 @@ def _stray(line: str) -> bool:
 def sentences(text: str) -> tuple[list[list[str]], int]:
     """The words of each prose sentence, without headings, code, tables, links, quoted passages and stray lines; and
     how many characters stand in all lines but fenced code, headings and quoted lines, white space apart."""
-    text = _INVISIBLE.sub("", text).replace("\r\n", "\n")
+    text = (text if text.isascii() else _INVISIBLE.sub("", text)).replace("\r\n", "\n")
     text = re.sub("[\x0b\x0c\x1c-\x1f\x85\u2028\u2029\r]", "\n", text)
-    text = _URL.sub(" ", _TAG.sub("", _FENCE.sub("\n\n", text)))
+    if "```" in text or "~~~" in text:
+        text = _FENCE.sub("\n\n", text)
+    if "<" in text:
+        text = _TAG.sub("", text)
+    if "://" in text or "](" in text or "www." in text:
+        text = _URL.sub(" ", text)
     paragraphs: list[list[str]] = [[]]
     size = 0
     for line in text.split("\n"):
@@ -101,23 +105,45 @@ def sentences(text: str) -> tuple[list[list[str]], int]:
     for lines in paragraphs:
         units = _paragraph(lines) if lines else []
         for unit in units:
-            unit = _QUOTED.sub(" ", unit.replace("**", "").replace("__", ""))
-            if len(_NOISE.findall(unit)) * 12 > len(unit.split()):
-                continue
+            unit = unit.replace("**", "").replace("__", "")
+            if not _QUOTES.isdisjoint(unit):
+                unit = _QUOTED.sub(" ", unit)
             if len(units) == 1 and not _CLOSED.search(unit) and len(unit.split()) < 8:
                 continue
-            plain = _ABBREVIATED.sub(lambda m: m[0].replace(".", ""), unit)
-            for part in _END.split(plain):
-                words = _WORD.findall(part or "")
+            unit, at = unit.replace("e.g.", "eg").replace("i.e.", "ie"), 0
+            for end in [*_END.finditer(unit), None]:
+                if end and end[0][0] == "." and _ABBREVIATED.search(unit, max(at, end.start() - 8), end.start() + 1):
+                    continue
+                words = _WORD.findall(unit, at, end.start() if end else len(unit))
                 if len(words) >= 3:
                     found.append(words)
+                at = end.end() if end else at
     return found, size
 
 
-def tongue(words: list[str]) -> int:
-    """1: the sentence has more English than foreign common words or words with foreign letters, -1: fewer, 0: as many."""
-    low = [w.lower() for w in words]
-    ours, theirs = sum(w in ENGLISH for w in low), sum(w in FOREIGN or not w.isascii() for w in low)
+class _Facts(dict):
+    """Of a word, when first asked for: syllables, letters, 1 for three syllables or more, 1 for over six letters, 1 for a
+    common English word, 1 for a common foreign word or one with foreign letters. At its bound it forgets all."""
+
+    def __missing__(self, word: str) -> tuple[int, int, int, int, int, int]:
+        if len(self) >= 200_000:
+            self.clear()
+        low, beats = word.lower(), syllables(word)
+        self[word] = facts = (beats, len(word), int(beats >= 3), int(len(word) > 6), int(low in ENGLISH), int(low in FOREIGN or not low.isascii()))
+        return facts
+
+
+_facts = _Facts()
+
+
+def totals(words: list[str]) -> tuple[int, ...]:
+    """The sums of the words' facts, after their number."""
+    return len(words), *map(sum, zip(*map(_facts.__getitem__, words)))
+
+
+def tongue(total: tuple[int, ...]) -> int:
+    """1: a sentence has more English than foreign common words or words with foreign letters, -1: fewer, 0: as many."""
+    ours, theirs = total[5:]
     return (ours > theirs) - (ours < theirs)
 
 
@@ -126,21 +152,17 @@ def tongue(words: list[str]) -> int:
 DEMANDING = 19.0
 
 
-def estimates(found: list[list[str]]) -> list[float]:
-    """School grades of sentences by six classic formulas."""
-    words = [w for s in found for w in s]
-    n, m = len(words), len(found)
-    beats = [syllables(w) for w in words]
-    letters = sum(map(len, words))
-    long, beat, hard = n / m, sum(beats) / n, sum(b >= 3 for b in beats)
-    lix = long + 100 * sum(len(w) > 6 for w in words) / n
+def estimates(total: tuple[int, ...], m: int = 1) -> list[float]:
+    """School grades of ``m`` sentences with these totals by six classic formulas."""
+    n, beats, letters, hard, big = total[:5]
+    long = n / m
     return [
-        0.39 * long + 11.8 * beat - 15.59,  # Flesch-Kincaid
+        0.39 * long + 11.8 * beats / n - 15.59,  # Flesch-Kincaid
         0.4 * (long + 100 * hard / n),  # Fog
         1.0430 * math.sqrt(hard * 30 / m) + 3.1291,  # SMOG
         4.71 * letters / n + 0.5 * long - 21.43,  # automated readability index
         5.88 * letters / n - 29.6 * m / n - 15.8,  # Coleman-Liau
-        (lix - 15) / 3.4,  # Lix on the scale of grades
+        (long + 100 * big / n - 15) / 3.4,  # Lix on the scale of grades
     ]
 
 
@@ -153,14 +175,14 @@ def grade(text: str | None) -> float | None:
     if not text:
         return None
     found, size = sentences(text)
-    tongues = [tongue(s) for s in found]
-    own = [s for s, t in zip(found, tongues) if t >= 0]
-    clear = sum(len(s) for s, t in zip(found, tongues) if t > 0)
-    words, total = sum(map(len, own)), sum(map(len, found))
-    if not words or 2 * words < total or 5 * clear < total or 2 * sum(len(w) for s in own for w in s) < size:
+    all_totals = [totals(words) for words in found]
+    own = [t for t in all_totals if tongue(t) >= 0]
+    clear = sum(t[0] for t in own if tongue(t) > 0)
+    words, total = sum(t[0] for t in own), sum(t[0] for t in all_totals)
+    if not words or 2 * words < total or 5 * clear < total or 2 * sum(t[2] for t in own) < size:
         return None
     upto = 0
-    for value, n in sorted((median(estimates([s])), len(s)) for s in own):
+    for value, n in sorted((median(estimates(t)), t[0]) for t in own):
         upto += n
         if 2 * upto >= words:
             return value
