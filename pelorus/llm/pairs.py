@@ -11,7 +11,6 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -130,17 +129,41 @@ def _bin(x: float, edges: tuple[float, ...]) -> int:
     return sum(x >= e for e in edges)
 
 
+def _rises(a: list[str], b: list[str], block: int = 16_384) -> list[int]:
+    """Where in ``a`` the longest common subsequence of ``a[: k + 1]`` and ``b`` grows; so it has as many words as there
+    are places. Bit-parallel, ``b`` in blocks of bounded size whose carries go on to the next one."""
+    within = set(b)
+    at = [k for k, w in enumerate(a) if w in within]
+    carries = bytearray(len(at))
+    for start in range(0, len(b), block):
+        masks: dict[str, int] = {}
+        bits = 0
+        for w in b[start : start + block]:
+            masks[w] = masks.get(w, 0) | 1 << bits
+            bits += 1
+        full = row = (1 << bits) - 1
+        get = masks.get
+        for n, k in enumerate(at):
+            same, carry = get(a[k], 0), carries[n]
+            if same or carry:
+                total = row + (row & same) + carry
+                carries[n] = total >> bits
+                row = (total | (row & ~same)) & full
+    return [k for n, k in enumerate(at) if carries[n]]
+
+
 def _overlap(response: list[str], prompt: list[str]) -> tuple[int, int, int]:
     """Words of the response that stand in the prompt in the same order (or in its runs of three, which may come
     repeatedly); words of the prompt that the response has; words from the first to the last such of the response."""
-    blocks = [b for b in SequenceMatcher(None, response[:600], prompt[:600], autojunk=False).get_matching_blocks() if b.size]
-    in_order = sum(b.size for b in blocks)
+    rises = _rises(response, prompt)
+    in_order = len(rises)
+    span = _rises(response[rises[-1] :: -1], prompt[::-1])[-1] + 1 if rises else 0
     threes = {tuple(prompt[k : k + 3]) for k in range(len(prompt) - 2)}
     again = [False] * len(response)
     for k in range(len(response) - 2):
         if tuple(response[k : k + 3]) in threes:
             again[k : k + 3] = [True] * 3
-    return max(in_order, sum(again)), in_order, blocks[-1].a + blocks[-1].size - blocks[0].a if blocks else 0
+    return max(in_order, sum(again)), in_order, span
 
 
 @lru_cache(maxsize=8192)
@@ -165,7 +188,7 @@ def features(prompt: str, response: str, known: dict[str, int]) -> dict[str, lis
     refusal = [f"length {_bin(n, (3, 6, 10, 15, 20, 30, 45))}"]
     low = re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?,:]", response.lower())
     for k in (1, 2, 3, 4):
-        refusal += [f"{k} {' '.join(low[i : i + k])}" for i in range(min(len(low), 400) - k + 1)]
+        refusal += [f"{k} {' '.join(low[i : i + k])}" for i in range(len(low) - k + 1)]
         if len(low) >= k:
             refusal.append(f"first {' '.join(low[:k])}")
     refusal.append(f"sentences {_bin(sum(x in '.!?' for x in low), (1, 2, 3, 4))}")

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from pelorus.llm.pairs import REFUSALS, fit, has_answer, pair_defects, tongue, tokens, wanted
+from pelorus.llm.pairs import REFUSALS, _overlap, _rises, fit, has_answer, pair_defects, tongue, tokens, wanted
 
 CITIES = "Aarburg Belwick Corholm Dunmere Estrand Falport".split()
 
@@ -61,6 +61,36 @@ def test_defects_are_named(model):
         assert sum(seen) >= 0.9 * len(seen), (label, sum(seen), len(seen))
 
 
+def notes(rng, n):
+    words = []
+    while len(words) < n:
+        words += f"The keeper of {rng.choice(CITIES)} wrote {rng.randrange(99)} readings of {rng.choice(('rain', 'wind', 'frost', 'sun'))} and {rng.choice(('closed', 'opened', 'moved'))} the {rng.choice(('book', 'gauge', 'door'))} at {rng.randrange(24)} that day.".split()
+    return " ".join(words)
+
+
+def test_long_pairs_are_judged_whole(model):
+    rng = random.Random(5)
+    for n in (700, 2000, 4000):
+        question = "How many hours of frost were there in Dunmere, and who wrote them down in the book of the station?"
+        prompt = f"{notes(rng, n)}\n\n{question}"
+        assert [model.defect(prompt, x) for x in (prompt, prompt.upper(), question)] == ["copied"] * 3
+        late = f"{notes(rng, n)} Unfortunately, I cannot provide this information."
+        assert model.defect(prompt, late) == "refusal" and model.defect(prompt, notes(rng, n)) is None
+        assert _overlap(tokens(prompt), tokens(prompt)) == (len(tokens(prompt)),) * 3
+
+
+def test_overlap_is_the_longest_in_order():
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randrange(25))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        want = [i for i in range(len(a)) if best[i + 1][-1] > best[i][-1]]
+        assert _rises(a, b, 4) == _rises(a, b) == want
+
+
 def test_languages():
     assert tongue(tokens("Der Tag war kalt und es fiel kein Regen")) == "de" and tongue(tokens("42 mm")) == ""
     prompt = "Translate into Spanish: the low was 3 degrees and the high was 9."
