@@ -10,7 +10,7 @@ import random
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -335,7 +335,7 @@ class PairModel:
         return None
 
 
-def _fit(rows: list[tuple[list[list[int]], str]], epochs: int, rate: float, decay: float, seed: int):
+def _fit(rows: list[tuple[list, str]], epochs: int, rate: float, decay: float, seed: int):
     """Logistic regression of every label by AdaGrad over small batches."""
     import numpy as np
 
@@ -343,7 +343,7 @@ def _fit(rows: list[tuple[list[list[int]], str]], epochs: int, rate: float, deca
     weights, squares = np.zeros(PLACES, np.float32), np.full(PLACES, 1e-6, np.float32)
     for label in range(len(LABELS)):
         name = LABELS[label]
-        flat = [np.array(p[label], np.int64) for p, _ in rows]
+        flat = [p[label] for p, _ in rows]
         target = np.array([y == name for _, y in rows], np.float32)
         # A label says nothing about another label's defects of higher rank: these rows are left out.
         usable = np.array([k for k, (_, y) in enumerate(rows) if not y or y == name or LABELS.index(y) > label or name in ("language", "refusal")])
@@ -397,7 +397,8 @@ def fit(sample: list[tuple[str, str]], *, epochs: int = 3, rate: float = 0.3, de
     The sample has defects of its own. So :func:`doubtful` pairs don't stand as whole ones at first; then the model is
     learned again on all pairs that it finds whole with scores below ``sure``, doubtful or not. A fifth of the pairs is
     held back to set each label's threshold, the score with the fewest errors there (the middle of the best stretch);
-    whole pairs count four times.
+    whole pairs count four times. A label without examples to learn from is never given; so without any pair that may
+    stand as whole only ``empty`` is.
     """
     import numpy as np
 
@@ -410,11 +411,15 @@ def fit(sample: list[tuple[str, str]], *, epochs: int = 3, rate: float = 0.3, de
     model = PairModel(np.zeros(PLACES, np.float32), [0.0] * len(LABELS), known)
     for turn in range(2):
         made = training_pairs(kept, seed + turn)
-        rows = [(places(p, r, known), y) for _, p, r, y in made]
+        rows = [([np.array(x, np.int32) for x in places(p, r, known)], y) for _, p, r, y in made]
         held = np.array([zlib.crc32(f"{seed} {row}".encode()) % 5 == 0 for row, *_ in made], bool)
+        learned = {y for (_, y), h in zip(rows, held) if not h}
         weights = _fit([x for x, h in zip(rows, held) if not h], epochs, rate, decay, seed + turn)
         thresholds = []
         for label, name in enumerate(LABELS):
+            if not {"", name} <= learned:
+                thresholds.append(float("inf"))  # nothing to tell this label by
+                continue
             scored = sorted((float(weights[p[label]].sum()), y == name, 1 if y else 4) for (p, y), h in zip(rows, held) if h and (not y or y == name))
             errors = best = sum(w for _, y, w in scored if not y)
             stretch = [-2.0, -2.0]
@@ -427,16 +432,29 @@ def fit(sample: list[tuple[str, str]], *, epochs: int = 3, rate: float = 0.3, de
         model = PairModel(weights, thresholds, known)
         if turn == 0:
             kept = [(p, r) for p, r in sample if max(model.scores(p, r)) < sure]
+            if not learned or not kept:
+                break
     return model
 
 
-def pair_defects(df: DataFrame, *, id_col: str, prompt_col: str, response_col: str, sample_rows: int = 4000) -> DataFrame:
+def _within(sizes: Iterable[tuple[int, int]], most: int) -> list[int]:
+    """Keys in order, as far as the sum of their sizes stays within ``most``; one that would exceed it is passed over."""
+    taken, left = [], most
+    for key, size in sizes:
+        if size <= left:
+            taken.append(key)
+            left -= size
+    return taken
+
+
+def pair_defects(df: DataFrame, *, id_col: str, prompt_col: str, response_col: str, sample_rows: int = 4000, sample_bytes: int = 8_000_000) -> DataFrame:
     """Defective pairs ``(id, defect)``, each once: the first that fits of ``empty``, ``copied``, ``refusal``,
     ``truncated``, ``language``.
 
     ``empty`` is a response that is null or has no letter or digit. The other labels come from a linear model that is
-    trained here, on the ``sample_rows`` pairs of lowest id hash (the bound on what the driver holds, at most the first
-    4000 characters of each text there); every row is judged, on whole texts. Rows with a null prompt are no pairs and
+    trained here, on the ``sample_rows`` pairs of lowest id hash, and on fewer where these have over ``sample_bytes``
+    bytes together (the bounds on what the driver holds): a pair that would exceed it is passed over, no text is cut.
+    Every row is judged, on whole texts. Rows with a null prompt are no pairs and
     must be left out by the caller's filter; they are skipped here. Copies of a row count once. Without any pair to learn from only ``empty`` comes out.
     """
     pairs = df.where(F.col(prompt_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(prompt_col).alias("prompt"), F.col(response_col).alias("response"))
@@ -444,8 +462,12 @@ def pair_defects(df: DataFrame, *, id_col: str, prompt_col: str, response_col: s
     last = hashed.select("_order").distinct().orderBy("_order").limit(sample_rows).agg(F.max("_order")).first()[0]  # hashes only are shuffled
     sample = []
     if last is not None:
-        chosen = hashed.where(F.col("_order") <= last).select("_order", F.substring("prompt", 1, 4000).alias("prompt"), F.substring("response", 1, 4000).alias("response"))
-        sample = [(r["prompt"], r["response"]) for r in chosen.distinct().orderBy("_order", "prompt", "response").limit(sample_rows).collect()]
+        chosen = hashed.where(F.col("_order") <= last).withColumn("_pair", F.xxhash64("_order", "prompt", "response"))
+        sizes = chosen.select("_order", "_pair", (F.octet_length("prompt") + F.octet_length("response")).alias("size")).distinct().orderBy("_order", "_pair").limit(sample_rows).collect()
+        taken = _within(((r["_pair"], r["size"]) for r in sizes), sample_bytes)
+        if taken:
+            rows = chosen.where(F.expr(f"_pair IN ({', '.join(f'{k}L' for k in taken)})")).select("_order", "_pair", "prompt", "response").distinct().orderBy("_order", "_pair").collect()
+            sample = [(r["prompt"], r["response"]) for r in rows]
     sent = df.sparkSession.sparkContext.broadcast(fit(sample))
 
     def judge(batches: Iterator) -> Iterator:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from pelorus.llm.pairs import REFUSALS, _overlap, _rises, fit, has_answer, pair_defects, tongue, tokens, wanted
+from pelorus.llm.pairs import REFUSALS, _overlap, _rises, _within, fit, has_answer, pair_defects, tongue, tokens, wanted
 
 CITIES = "Aarburg Belwick Corholm Dunmere Estrand Falport".split()
 
@@ -98,6 +98,37 @@ def test_languages():
     assert has_answer("ß") and not has_answer("...") and set(REFUSALS) == {"en", "de", "es", "fr"}
 
 
+def test_long_texts_are_learned_whole(spark):
+    """All texts end behind 4000 characters: none is broken off, and none is a copy."""
+    rng = random.Random(7)
+
+    def long_pair():
+        prompt, response = whole(rng)
+        while "{" in response or len(response) < 30 or prompt.startswith("Repeat"):
+            prompt, response = whole(rng)
+        said = " ".join(f"Over {rng.randrange(2, 40)} nights {rng.choice(('little', 'much', 'nothing'))} changed near {rng.choice(CITIES)}, so {rng.choice(('nobody', 'someone', 'each of them'))} {rng.choice(('looked', 'asked', 'waited'))} again." for _ in range(80))
+        return f"{notes(rng, 800)}\n\n{prompt}", f"{said} {response.rstrip('.')}."
+
+    rows = [(f"id{k}", *long_pair()) for k in range(150)]
+    assert min(len(t) for _, *texts in rows for t in texts) > 4000
+    rows += [("cut", rows[0][1], rows[0][2][:-20]), ("copied", rows[1][1], rows[1][1]), ("no", rows[2][1], ""), ("refused", rows[3][1], "I'm afraid I am not able to help with this.")]
+    df = spark.createDataFrame(rows, "id string, p string, r string")
+    kw = {"id_col": "id", "prompt_col": "p", "response_col": "r"}
+    got = dict(tuple(r) for r in pair_defects(df, **kw).collect())
+    assert {k: got.pop(k, None) for k in ("cut", "copied", "no", "refused")} == {"cut": "truncated", "copied": "copied", "no": "empty", "refused": "refusal"}
+    assert len(got) <= 3
+    few = dict(tuple(r) for r in pair_defects(df, **kw, sample_bytes=900_000).collect())  # about a half of the pairs
+    assert few["copied"] == "copied" and len(few) <= 10
+    assert {tuple(r) for r in pair_defects(df, **kw, sample_bytes=0).collect()} == {("no", "empty")}
+
+
+def test_nothing_to_learn_from():
+    refused = [(whole(random.Random(k))[0], "Sorry, I have to decline to answer that question.") for k in range(40)]
+    model = fit(refused)
+    assert {model.defect(p, r) for p, r in refused} == {None} and model.defect("Why?", "") == "empty"
+    assert _within([(1, 5), (2, 9), (3, 4), (4, 2)], 10) == [1, 3]
+
+
 def test_table(spark):
     rng = random.Random(4)
     rows = [(f"id{k}", *whole(rng), "x", 1) for k in range(300)]
