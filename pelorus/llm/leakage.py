@@ -94,74 +94,68 @@ class Patterns:
         return found
 
 
-def _walk(text: list[str], item: list[str], i: int, j: int, step: int, most: int) -> list[tuple[int, int, int]]:
-    """From a match at (i, j), go on in one direction: runs as (length, changed words before it, item words skipped)."""
-    runs, length = [], 0
-    i, j = i + step, j + step
-    edits = skipped = 0
-    while True:
-        if 0 <= i < len(text) and 0 <= j < len(item) and text[i] == item[j]:
-            length, i, j = length + 1, i + step, j + step
-            continue
-        runs.append((length, edits, skipped))
-        for edits in range(1, most + 1):
-            shifts = [(edits, edits)] + [s for k in range(edits) for s in ((edits, k), (k, edits))]
-            for di, dj in shifts:
-                a, b = i + di * step, j + dj * step
-                if 0 <= a < len(text) and 0 <= b < len(item) and text[a] == item[b]:
-                    c, d = a + step, b + step
-                    if 0 <= c < len(text) and 0 <= d < len(item) and text[c] == item[d]:
-                        break
-            else:
+def _reach(text: list[str], item: list[str], i: int, j: int, step: int, most: int, rate: float, spare: float) -> list[int]:
+    """From (i, j) on in one direction: by number of changes, 0 to ``most``, how many item words can be passed so that
+    the last one is equal in the text; ends where there are over ``spare`` changes more than ``rate`` allows for these.
+    Edit distance by furthest-reaching diagonals (Landau-Vishkin)."""
+    width, height = (len(text) - i, len(item) - j) if step > 0 else (i + 1, j + 1)
+    far: dict[int, int] = {}  # by diagonal (text words less item words): item words passed
+    best, reach = [], 0
+    for edits in range(most + 1):
+        now: dict[int, int] = {}
+        for d in range(-edits, edits + 1):
+            limit = min(height, width - d)
+            before = far.get(d, -1)
+            r = min(max(before + 1, far.get(d + 1, -1) + 1, far.get(d - 1, -1)), limit) if edits else 0
+            if r < 0 or r + d < 0:
                 continue
+            while r < limit and text[i + step * (r + d)] == item[j + step * r]:
+                r += 1
+            now[d] = r
+            while r > reach and r > before:
+                if r + d > 0 and text[i + step * (r + d - 1)] == item[j + step * (r - 1)]:
+                    reach = r
+                r -= 1
+        best.append(reach)
+        if edits > rate * reach + spare:
             break
-        else:
-            return runs
-        length, i, j, skipped = 0, a, b, dj
+        far = now
+    return best
 
 
-def holds_passage(text: list[str], parts: list[str], owner: list[int], shared: list[bool], hits: list[tuple[int, int]], exact: int, loose: int, rate: float, most: int = 3) -> bool:
+def holds_passage(text: list[str], parts: list[str], owner: list[int], shared: list[bool], hits: list[tuple[int, int]], exact: int, loose: int, rate: float) -> bool:
     """Whether a passage around one of the hits is long enough: ``exact`` words in a row, or ``loose`` words of which at
     most ``rate`` are changed, left out or put in. Words count as the item has them between white space, without the
-    wording that several items share."""
-    whole: dict[int, int] = defaultdict(int)
-    for k in owner:
-        whole[k] += 1
-
-    def words(first: int, last: int) -> int:
-        """The item's whole unshared words among its parts first..last."""
-        inside: dict[int, int] = defaultdict(int)
-        for p in range(first, last + 1):
-            if not shared[p]:
-                inside[owner[p]] += 1
-        return sum(n == whole[k] for k, n in inside.items())
+    wording that several items share; a passage begins and ends with a word that is equal in both."""
+    hidden = {k for k, s in zip(owner, shared) if s}
+    # Of the item's whole unshared words, how many begin and how many end before a part.
+    begun, ended = [0], [0]
+    for p, k in enumerate(owner):
+        begun.append(begun[p] + (k not in hidden and (p == 0 or owner[p - 1] != k)))
+        ended.append(ended[p] + (k not in hidden and (p + 1 == len(owner) or owner[p + 1] != k)))
+    most = int(rate * ended[-1])
 
     seen: set[tuple[int, int]] = set()
     for i, j in hits:
         if (i, j) in seen:
             continue
-        back, ahead = _walk(text, parts, i, j, -1, most), _walk(text, parts, i, j, 1, most)
-        # Runs of equal words from left to right: first part, last part, changed words before the run.
-        spans, at = [[j - back[0][0], j + ahead[0][0], 0]], j - back[0][0]
-        for length, edits, skipped in back[1:]:
-            spans[0][2] = edits
-            at -= skipped + length
-            spans.insert(0, [at, at + length - 1, 0])
-        at = j + 1 + ahead[0][0]
-        for length, edits, skipped in ahead[1:]:
-            at += skipped
-            spans.append([at, at + length - 1, edits])
-            at += length
-        seen.update((i + k, j + k) for k in range(-back[0][0], ahead[0][0] + 1))
-        for a in range(len(spans)):
-            changed = 0
-            for b in range(a, len(spans)):
-                changed += spans[b][2] if b > a else 0
-                n = words(spans[a][0], spans[b][1])
-                if changed == 0:
-                    if n >= exact:
-                        return True
-                elif n >= loose and changed <= rate * n:
+        first, last = 0, 0
+        while i + first > 0 and j + first > 0 and text[i + first - 1] == parts[j + first - 1]:
+            first -= 1
+        while i + last < len(text) and j + last < len(parts) and text[i + last] == parts[j + last]:
+            last += 1
+        seen.update((i + k, j + k) for k in range(first, last))
+        if ended[j + last] - begun[j + first] >= exact:
+            return True
+        # One side of a passage makes up for at most ``rate * loose`` changes of the other, else it is a passage itself.
+        # And if what is passed so far, both sides together, has as many too many, then what makes up for them behind it
+        # is a passage with hits of its own. So no passage is lost where a side ends (two words more: parts of words).
+        spare = rate * (loose + 2)
+        back = [begun[j - n] for n in _reach(text, parts, i - 1, j - 1, -1, most, rate, 2 * spare)]
+        ahead = [ended[j + n] for n in _reach(text, parts, i, j, 1, most, rate, spare + max(rate * (begun[j] - n) - k for k, n in enumerate(back)))]
+        for a, start in enumerate(back):
+            for b, end in enumerate(ahead):
+                if end - start >= loose and a + b <= rate * (end - start):
                     return True
     return False
 
@@ -200,7 +194,7 @@ def leaked_items(
 
     A passage counts that holds ``exact`` words in a row of an item, or ``loose`` of which at most ``rate`` are changed;
     wording of ``exact`` words or more that several items share does not count. Such a passage holds ``seed`` words in
-    a row, so windows of that size are the patterns of the search, and passages around the hits are walked word by word.
+    a row, so windows of that size are the patterns of the search, and passages around the hits are aligned by edit distance.
 
     Items are broadcast in blocks of at most about ``block_bytes`` bytes of text each (one for a usual evaluation set),
     so the corpus is scanned once per block, without a shuffle. Nulls and empty texts on either side hold nothing, items

@@ -2,7 +2,7 @@
 
 import random
 
-from pelorus.llm.leakage import Patterns, item_words, leaked_items, words_of
+from pelorus.llm.leakage import Patterns, holds_passage, item_words, leaked_items, words_of
 
 WORDS = "salt frost ledger harbour lamp keeper rower tide clock hail net kite maker silver tally granary belfry cistern causeway oyster diver wool trader brine sundial needle rope founder".split()
 
@@ -74,6 +74,56 @@ def test_passages_and_echoes(spark):
     assert leaks(spark, docs + docs[:1], items + items[:1] + [(None, items[0][1]), (77, None), (78, ""), (79, "too short")], block_bytes=300) == want
 
 
+def passage(text, item, loose=20, rate=1 / 6.5):
+    """By brute force: 12 words in a row, or a span of the item against any span of the text, equal at both ends."""
+    spans = range(len(item))
+    if any(item[a : a + 12] == text[i : i + 12] for a in spans[: len(item) - 11] for i in range(len(text) - 11)):
+        return True
+    for a in spans:
+        row = [99] + [0 if w == item[a] else 99 for w in text]
+        for b in range(a + 1, len(item)):
+            after = [row[0] + 1]
+            for i, w in enumerate(text):
+                after.append(min(row[i] + (w != item[b]), row[i + 1] + 1, after[i] + 1))
+                n = b + 1 - a
+                if w == item[b] and n >= loose and after[-1] <= rate * n:
+                    return True
+            row = after
+    return False
+
+
+def found(words, item):
+    n = len(item)
+    hits = Patterns([(0, item, list(range(n)), [False] * n)], 5).search(words)
+    return 0 in hits and holds_passage(words, item, list(range(n)), [False] * n, hits[0], 12, 20, 1 / 6.5)
+
+
+def test_uneven_edits_equal_brute_force():
+    rng = random.Random(3)
+    seen = []
+    for _ in range(400):
+        item = text(rng, rng.randrange(20, 45)).split()
+        start = rng.randrange(0, len(item) - 18)
+        words = item[start : start + rng.randrange(18, 40)]
+        for _ in range(rng.randrange(2, 8)):
+            k = rng.randrange(len(words))
+            words[k : k + 1] = rng.choice((["zebra"], [], [words[k], "quagga"], ["zebra", "okapi"]))
+        words = text(rng, 8).split() + words + text(rng, 8).split()
+        seen.append(passage(words, item))
+        assert found(words, item) == seen[-1], (item, words)
+    assert 60 < sum(seen) < 340
+
+
+def test_lone_right_words_between_changes(spark):
+    rng = random.Random(4)
+    for at, n in (((5, 7, 12), 21), ((5, 7, 9), 20), ((5, 7, 14), 21)):
+        items = [(1, text(rng, n))]
+        words = items[0][1].split()
+        for k in at:
+            words[k] = "zebra"
+        assert passage(words, items[0][1].split()) and leaks(spark, [(1, " ".join(words))], items) == {(1, 1)}
+
+
 def test_empty_tables(spark):
     item = [(1, " ".join(WORDS))]
     assert leaks(spark, [], item) == set() and leaks(spark, [(1, " ".join(WORDS))], []) == set()
