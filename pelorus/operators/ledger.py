@@ -120,11 +120,13 @@ def status_histogram(df: DataFrame, status: str = "response_status") -> DataFram
 
 
 def ok_aggregates(df: DataFrame) -> DataFrame:
-    """Bytes and mean latency of all rows with status 200, superseded or not; zeros without any."""
+    """Bytes and mean latency of all rows with status 200, superseded or not; zeros without any. A latency that is NaN or
+    infinite is left out of the mean only."""
     good = F.col("response_status") == 200
+    finite = ~F.isnan("latency") & (F.abs("latency") < float("inf"))
     return df.agg(
         F.coalesce(F.sum(F.when(good, F.col("response_size"))), F.lit(0)).alias("bytes_in"),
-        F.coalesce(F.avg(F.when(good & ~F.isnan("latency"), F.col("latency"))), F.lit(0.0)).alias("avg_latency_s"),
+        F.coalesce(F.avg(F.when(good & finite, F.col("latency"))), F.lit(0.0)).alias("avg_latency_s"),
     )
 
 

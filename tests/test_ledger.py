@@ -192,3 +192,10 @@ def test_files_of_requests(spark, tmp_path):
     assert [(r.rid, [f.name for f in r.files]) for r in got] == [("a", ["two", "one"])]
     write_each(spark.createDataFrame([("x/y", "1"), ("x/y", "2"), (None, "3"), ("z", None)], "n string, c string"), str(tmp_path / "out"), "n", "c")
     assert {p.name: p.read_text() for p in (tmp_path / "out").iterdir()} == {"x_y.json": "2"}
+
+
+def test_ok_aggregates_keep_the_bytes_of_rows_without_a_finite_latency(spark):
+    rows = [(200, 10, 1.0), (200, 20, float("nan")), (200, 40, float("inf")), (200, 80, float("-inf")), (200, 160, None), (200, None, 3.0), (500, 320, 9.0), (None, 640, 9.0)]
+    df = spark.createDataFrame(rows, "response_status int, response_size long, latency double")
+    assert tuple(ledger.ok_aggregates(df).first()) == (310, 2.0)
+    assert tuple(ledger.ok_aggregates(df.limit(0)).first()) == (0, 0.0)
