@@ -27,6 +27,7 @@ _FENCE = re.compile(r"^\s*(?:```|~~~)[^\n]*\n.*?(?:^\s*(?:```|~~~)[^\n]*$|\Z)",
 _TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,200}>")
 _URL = re.compile(r"\[([^\]\n]{0,300})\]\([^()\s]{0,500}\)|<?\b(?:https?|ftp)://\S+|\bwww\.\S+")
 _QUOTED = re.compile(r"[\"“„«»][^\"“”„«»\n]{12,}[\"”“«»]")
+_PLAIN = re.compile(r"[A-Za-z'’-]+[.,;:!?]*")
 _QUOTES = frozenset("\"“”„«»")
 _BULLET = re.compile(r"^\s*(?:[-*+•‣·]|\(?\d{1,3}[.)]|\(?[a-z]\))\s+")
 _NOISE = re.compile(r"[{}\[\]|=<>\\_@#$^~`]|;\S|::|\(\)|\t|://|\w=\w")
@@ -78,9 +79,15 @@ def _stray(line: str) -> bool:
     return len(_NOISE.findall(line)) * 12 > len(words) or (not _CLOSED.search(line) and sum(len(w) > 1 for w in _WORD.findall(line)) < 2)
 
 
+def _introduces(line: str) -> bool:
+    """A line of prose, after which an indented block is a quoted piece of code and not the body of a program."""
+    return sum(bool(_PLAIN.fullmatch(w)) for w in line.split()) >= 4 and bool(_CLOSED.search(line))
+
+
 def sentences(text: str) -> tuple[list[list[str]], int]:
     """The words of each prose sentence, without headings, code, tables, links, quoted passages and stray lines; and
-    how many characters stand in all lines but fenced code, headings and quoted lines, white space apart."""
+    how many characters stand in all lines but fenced code, indented code after a line of prose, headings and quoted lines
+    and passages, white space apart."""
     text = (text if text.isascii() else _INVISIBLE.sub("", text)).replace("\r\n", "\n")
     text = re.sub("[\x0b\x0c\x1c-\x1f\x85\u2028\u2029\r]", "\n", text)
     if "```" in text or "~~~" in text:
@@ -91,11 +98,18 @@ def sentences(text: str) -> tuple[list[list[str]], int]:
         text = _URL.sub(" ", text)
     paragraphs: list[list[str]] = [[]]
     size = 0
+    prose = block = False  # whether the last line that is not indented is prose, and a block of code stands open after it
+    gap = True
     for line in text.split("\n"):
         bare = line.strip()
         heading = bare.startswith(("#", ">"))
-        if bare and not heading:
-            size += len(bare) - bare.count(" ")
+        if bare:
+            indented = line.startswith(("    ", "\t"))
+            block = indented and (block or (gap and prose))
+            prose = prose if indented else heading or _introduces(bare)
+            if not heading and not block:
+                size += len(bare) - bare.count(" ")
+        gap = not bare
         if not bare or heading or bare.startswith(("|", "//", "$ ")) or line.startswith(("    ", "\t")) or _stray(bare):
             if paragraphs[-1]:
                 paragraphs.append([])
@@ -107,6 +121,8 @@ def sentences(text: str) -> tuple[list[list[str]], int]:
         for unit in units:
             unit = unit.replace("**", "").replace("__", "")
             if not _QUOTES.isdisjoint(unit):
+                if unit.lstrip()[:1] not in tuple("[{") and '":' not in unit:  # strings of JSON are no quoted passages
+                    size -= sum(len(q) - sum(map(str.isspace, q)) for q in _QUOTED.findall(unit))
                 unit = _QUOTED.sub(" ", unit)
             if len(units) == 1 and not _CLOSED.search(unit) and len(unit.split()) < 8:
                 continue

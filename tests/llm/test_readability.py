@@ -27,6 +27,20 @@ def test_other_matter_does_not_count():
     assert grade(listed) == grade(bare) == grade(FAIR)
 
 
+def test_much_other_matter_does_not_count():
+    code = "\n".join(f"    result_{k} = estimator.fit(values[{k}], weights=None)" for k in range(40))
+    said = " ".join(f'The book says: "{EASY}"' for _ in range(6))
+    for base in (EASY, FAIR, HARD):
+        for text in (f"{base}\n\n{code}", f"{base}\n\n{code}\n\n{code}", f"{base} {said}", f"# The estimates of the station\n\n{code}\n\n{base}"):
+            assert grade(text) is not None, text
+        assert grade(f"{base}\n\n{code}") == grade(base)
+    assert grade(f"{HARD} {said}") > DEMANDING
+    program = f"import estimator\n\ndef run(values):\n{code}\n\n{code}\n\n# The results of the run are given back to those who asked for them.\n"
+    assert grade(program) is None
+    names = ",\n".join(f'{{"note": "{EASY}"}}' for _ in range(4))
+    assert grade(f"[{names}]") is None
+
+
 def test_texts_without_a_grade():
     german = "Für die kommende Nacht wird mit Nebel und örtlichem Frost gerechnet. Die Station am Hafen meldete keine neuen Werte, weil der Fühler vereist war."
     logs = "\n".join(f"2025-01-0{k}T10:00:00Z ERROR host=a{k}.example status=503 reason=upstream_unavailable" for k in range(1, 9))
