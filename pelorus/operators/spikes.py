@@ -1,9 +1,8 @@
 """Implausible measurements per source: jumps, stuck values and impossible readings.
 
 The work is split by source *and* by blocks of consecutive readings, so a source that holds a third of all
-rows is spread over many tasks. A block carries a few readings of its neighbours (the halo), which is all that
-the local tests need. Each reading's tests are written once to the shared checkpoint folder and read twice, for the
-sources' scales and for the readings beyond them.
+rows is spread over many tasks. A block carries the readings next to it (the halo), which is all that the local
+tests need. All rows are shuffled twice: once to merge the copies of a reading, once into blocks.
 """
 
 from __future__ import annotations
@@ -24,36 +23,29 @@ def source_key(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, BLANK, ""))
 
 
-def _numbered(readings: DataFrame, hours: int) -> DataFrame:
-    """Add ``_rank`` (from 0) of each reading in its source, without sorting any source in one task.
+def _readings(rows: DataFrame, hours: int) -> DataFrame:
+    """Each reading once, with its span of ``hours``.
 
-    Readings are ranked inside spans of time of bounded length; spans get the count of all earlier spans as
-    their offset. ``readings``: ``_source, _ts, _value``, may hold copies.
+    ``_a`` and ``_z`` are the least and the greatest id of its rows and ``_rows`` their number, so rows need no second
+    look unless a reading may have more than two ids. All of it merges before the shuffle: an hour delivered a million
+    times costs no more than others.
     """
     span = F.expr(f"timestampdiff(HOUR, timestamp_ntz'1970-01-01 00:00:00', _ts) div {hours}")
-    spans = readings.withColumn("_span", span).repartition("_source", "_span").dropDuplicates(["_source", "_span", "_ts", "_value"])
-    before = Window.partitionBy("_source").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        spans.groupBy("_source", "_span")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .select("_source", "_span", "_before")
-    )
-    inside = Window.partitionBy("_source", "_span").orderBy("_ts", "_value")
-    return (
-        spans.withColumn("_place", F.row_number().over(inside) - 1)
-        .join(offsets, ["_source", "_span"])
-        .select("_source", "_ts", "_value", (F.col("_place") + F.col("_before")).alias("_rank"))
-    )
+    return rows.groupBy("_source", span.alias("_span"), "_ts", "_value").agg(F.min("_id").alias("_a"), F.max("_id").alias("_z"), F.count(F.lit(1)).alias("_rows"))
+
 
+def _blocks(readings: DataFrame, size: int, halo: int) -> DataFrame:
+    """``readings`` by ``_block``: ``size`` consecutive readings of a source, with at least ``halo`` more on either side.
 
-def _blocks(ranked: DataFrame, size: int, halo: int) -> DataFrame:
-    """Copy each reading into its block of ``size`` ranks and, near an edge, into the neighbouring block."""
-    block, place = F.floor(F.col("_rank") / size), F.col("_rank") % size
-    own = F.array(block)
-    left = F.when((place < halo) & (block > 0), F.array(block - 1)).otherwise(F.array().cast("array<bigint>"))
-    right = F.when(place >= size - halo, F.array(block + 1)).otherwise(F.array().cast("array<bigint>"))
-    return ranked.withColumn("_block", F.explode(F.concat(own, left, right))).withColumn("_own", F.col("_block") == block)
+    Whole spans go to all blocks that they may touch; the readings before each span (``_before``) come from counts.
+    """
+    before = Window.partitionBy("_source").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = cut(
+        readings.groupBy("_source", "_span").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .select("_source", "_span", "_before", F.sequence(F.greatest(F.floor((F.col("_before") - halo) / size), F.lit(0)), F.floor((F.col("_before") + F.col("_n") - 1 + halo) / size)).alias("_block"))
+    )
+    return readings.join(spans, ["_source", "_span"]).withColumn("_block", F.explode("_block"))
 
 
 def _least(columns: Sequence[Column]) -> Column:
@@ -88,7 +80,7 @@ def flag_implausible(
     gate: float = 2.0,
     factor: float = 3.3,
     block: int = 8192,
-    span_hours: int = 1536,
+    span_hours: int = 256,
 ) -> DataFrame:
     """Rows whose value is impossible, belongs to a short jump or to a stuck run: ``(id, reason)``.
 
@@ -103,33 +95,43 @@ def flag_implausible(
 
     Nulls and NaN are no readings and never flagged; rows without source or time are tested for bounds only.
     Copies of a row and redelivered readings of one hour count once, yet every row of a flagged reading comes
-    out (once per id and reason). An empty table gives an empty result. Other columns are never read.
+    out (once per id and reason); a row without an id takes part and can't come out. An empty table gives an empty
+    result. Other columns are never read.
+
+    ``span_hours`` should hold no more readings than ``block``: whole spans are copied at the edges of blocks.
     """
     raw = df.select(F.col(id_col).alias("_id"), source_key(F.col(source_col)).alias("_source"), F.col(time_col).alias("_ts"), F.col(value_col).cast("double").alias("_value")).where(F.col("_value").isNotNull() & ~F.isnan("_value"))
     inside = F.col("_value").between(low, high)
-    bounds = raw.where(~inside).select("_id", F.lit("bounds").alias("reason"))
+    bounds = raw.where(~inside & F.col("_id").isNotNull()).select("_id", F.lit("bounds").alias("reason"))
 
     plausible = raw.where(inside & F.col("_source").isNotNull() & F.col("_ts").isNotNull())
-    blocks = _blocks(_numbered(plausible.select("_source", "_ts", "_value"), span_hours), block, max(stuck_run, 2 * half_window, longest_jump) + 1)
-    order = Window.partitionBy("_source", "_block").orderBy("_rank")
+    blocks = _blocks(cut(_readings(plausible, span_hours)), block, max(stuck_run, 2 * half_window, longest_jump) + 1)
+    order = Window.partitionBy("_source", "_block").orderBy("_ts", "_value")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     reach = max(half_window, longest_jump)
     around = [k for k in range(-reach, reach + 1) if k]
     x = {0: F.col("_value")} | {k: F.col(f"_at{k + reach}") for k in around}
-    near = F.array_sort(F.array_compact(F.array(*(x[k] for k in range(-half_window, half_window + 1)))))
-    count = F.size("_near")
-    middle = (F.element_at("_near", F.floor((count + 1) / 2).cast("int")) + F.element_at("_near", (F.floor(count / 2) + 1).cast("int"))) / 2
-    seen = cut(
+    window = [x[k] for k in range(-half_window, half_window + 1)]
+    absent = sum((v.isNull().cast("int") for v in window), F.lit(0))  # sorted first
+    count = F.lit(len(window)) - absent
+    middle = (F.get("_near", absent + F.floor((count - 1) / 2).cast("int")) + F.get("_near", absent + F.floor(count / 2).cast("int"))) / 2
+    least = 0.05
+    tested = (
         blocks.select(
             "*",
             *((F.lag if k < 0 else F.lead)("_value", abs(k)).over(order).alias(f"_at{k + reach}") for k in around),
-            F.when(F.col("_value") == F.lag("_value").over(order), 0).otherwise(1).alias("_changes"),
+            (F.min("_before").over(so_far) + F.row_number().over(order) - 1).alias("_rank"),
         )
-        .withColumn("_run", F.sum("_changes").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_length", F.count(F.lit(1)).over(Window.partitionBy("_source", "_block", "_run")))
-        .where("_own")
-        .select("_source", "_ts", "_value", "_length", near.alias("_near"), _departure(x, longest_jump).alias("_off"))
-        .select("_source", "_ts", "_value", "_length", "_off", F.abs(F.col("_value") - middle).alias("_deviation"))
+        # The rank at which the run of equal values begins, and whether the run goes on to its stuck_run-th reading.
+        .withColumn("_begins", F.max(F.when(~F.col("_value").eqNullSafe(x[-1]), F.col("_rank"))).over(so_far))
+        .withColumn("_full", F.min(F.when(F.col("_rank") - F.col("_begins") >= stuck_run - 1, F.col("_begins"))).over(order.rowsBetween(0, stuck_run - 1)))
+        .where(F.floor(F.col("_rank") / block) == F.col("_block"))
+        .withColumn("_near", F.sort_array(F.array(*window)))
+        .select(*("_source _ts _value _a _z _rows".split()), F.abs(F.col("_value") - middle).alias("_deviation"), _departure(x, longest_jump).alias("_off"), F.coalesce(F.col("_full") == F.col("_begins"), F.lit(False)).alias("_stuck"))
+        # No scale is below ``least``, so most readings can be told from jumps already: of these only the deviation is kept.
+        .withColumn("_maybe", F.col("_stuck") | F.coalesce((F.col("_off") > least * factor) & (F.col("_deviation") > least * gate), F.lit(False)))
     )
+    seen = cut(tested.select("_source", "_maybe", "_deviation", *(F.when(F.col("_maybe"), F.col(c)).alias(c) for c in "_ts _value _a _z _rows _off _stuck".split())))
     upto = Window.partitionBy("_source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     histogram = (
         seen.groupBy("_source", F.floor(F.col("_deviation") * 100 + 0.5).alias("_bin"))
@@ -141,15 +143,15 @@ def flag_implausible(
         F.greatest(
             F.min(F.when(F.col("_upto") * 2 >= F.col("_all"), F.col("_bin"))) * 0.01 * 1.4826,
             F.min(F.when(F.col("_upto") * 20 >= F.col("_all") * 19, F.col("_bin"))) * 0.01,
-            F.lit(0.05),
+            F.lit(least),
         ).alias("_scale")
     )
     jump = (F.col("_deviation") > F.col("_scale") * gate) & (F.col("_off") > F.col("_scale") * factor)
-    stuck = F.col("_length") >= stuck_run
-    flagged = (
-        seen.where(((F.col("_off") > 0) & (F.col("_deviation") > 0)) | stuck)
-        .join(scales, "_source")
-        .select("_source", "_ts", "_value", F.explode(F.array_compact(F.array(F.when(jump, F.lit("jump")), F.when(stuck, F.lit("stuck"))))).alias("reason"))
-    )
-    rows = plausible.join(flagged, ["_source", "_ts", "_value"]).select("_id", "reason")
+    reasons = F.array_compact(F.array(F.when(jump, F.lit("jump")), F.when(F.col("_stuck"), F.lit("stuck"))))
+    flagged = seen.where("_maybe").join(cut(scales), "_source").select("_source", "_ts", "_value", "_a", "_z", "_rows", F.explode(reasons).alias("reason"))
+
+    many = (F.col("_rows") > 2) & (F.col("_a") != F.col("_z"))  # copies, or more ids than the two that are known
+    rows = flagged.select(F.explode(F.array_compact(F.array("_a", "_z"))).alias("_id"), "reason")
+    if not seen.where(F.col("_maybe") & many).isEmpty():
+        rows = rows.unionByName(plausible.where(F.col("_id").isNotNull()).join(flagged.where(many), ["_source", "_ts", "_value"]).select("_id", "reason"))
     return bounds.unionByName(rows).distinct().select(F.col("_id").alias(id_col), "reason")
