@@ -153,5 +153,6 @@ def flag_implausible(
     many = (F.col("_rows") > 2) & (F.col("_a") != F.col("_z"))  # copies, or more ids than the two that are known
     rows = flagged.select(F.explode(F.array_compact(F.array("_a", "_z"))).alias("_id"), "reason")
     if not seen.where(F.col("_maybe") & many).isEmpty():
-        rows = rows.unionByName(plausible.where(F.col("_id").isNotNull()).join(flagged.where(many), ["_source", "_ts", "_value"]).select("_id", "reason"))
+        again = cut(flagged.where(many).select("_source", "_ts", "_value", "reason"))  # a table's size is known: if small, it is broadcast
+        rows = rows.unionByName(plausible.where(F.col("_id").isNotNull()).join(again, ["_source", "_ts", "_value"]).select("_id", "reason"))
     return bounds.unionByName(rows).distinct().select(F.col("_id").alias(id_col), "reason")
