@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from pelorus.llm.pairs import REFUSALS, _overlap, _rises, _within, fit, has_answer, pair_defects, tongue, tokens, wanted
+from pelorus.llm.pairs import REFUSALS, Tongues, _overlap, _rises, _within, fit, has_answer, pair_defects, tokens
 
 CITIES = "Aarburg Belwick Corholm Dunmere Estrand Falport".split()
 
@@ -92,12 +92,26 @@ def test_overlap_is_the_longest_in_order():
 
 
 def test_languages():
-    assert tongue(tokens("Der Tag war kalt und es fiel kein Regen")) == "de" and tongue(tokens("42 mm")) == ""
+    tongues = Tongues()  # knows only the common words
+    assert tongues.tongue(tokens("Der Tag war kalt und es fiel kein Regen")) == "de" and tongues.tongue(tokens("42 mm")) == ""
     prompt = "Translate into Spanish: the low was 3 degrees and the high was 9."
-    assert wanted(prompt, tokens(prompt)) == "es"
+    assert tongues.wanted(prompt, tokens(prompt)) == "es"
+    assert tongues.wanted("Please answer in Italian: what is this?", []) == "other"
     assert has_answer("ß") and not has_answer("...") and set(REFUSALS) == {"en", "de", "es", "fr"}
 
 
+def test_a_model_can_be_used_again(spark, model):
+    import pickle
+
+    again = pickle.loads(pickle.dumps(model))
+    rng = random.Random(8)
+    pairs = [whole(rng) for _ in range(50)] + [("Why?", "I will not answer that."), ("Why?", None)]
+    assert again.defects(pairs) == model.defects(pairs) == [model.defect(*p) for p in pairs]
+    df = spark.createDataFrame([(f"i{k}", *p) for k, p in enumerate(pairs)], "id string, p string, r string")
+    got = {tuple(r) for r in pair_defects(df, id_col="id", prompt_col="p", response_col="r", model=model).collect()}
+    assert got == {(f"i{k}", d) for k, d in enumerate(model.defects(pairs)) if d}
+
+
 def test_long_texts_are_learned_whole(spark):
     """All texts end behind 4000 characters: none is broken off, and none is a copy."""
     rng = random.Random(7)
