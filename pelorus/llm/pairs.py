@@ -42,7 +42,8 @@ _NAMED = {
 _ASKS = {
     k: re.compile(rf"(?:\b(?:in|into|to|auf|ins|nach|en|al|in das|vers l'|em)\s+(?:the\s+)?(?:{v})\b)|(?:\b(?:{v})\s+(?:please|bitte|por favor|answer|version|translation))", re.I) for k, v in _NAMED.items()
 }
-_ANY_NAME = re.compile("|".join(_NAMED.values()), re.I)
+#: Every name of a language holds one of these.
+_NAME_STEMS = "engl inglés angl germ deutsch alem allem span españ castellano espagnol french franz francés français ital port dutch russ chin japan latin polish turkish arabic".split()
 _REPEAT = re.compile(
     r"\b(?:repeat|send (?:me )?back|echo|copy (?:out )?(?:the|this)|reproduce|return the (?:same|following) text|say (?:exactly|the following)|wiederhol\w*|gib .{0,30}(?:unverändert|wörtlich)|"
     r"schreib\w* .{0,20}ab\b|répèt\w*|répét\w*|recopi\w*|renvoie|repit\w*|repet\w*|devuelv\w*|copia (?:el|este))",
@@ -215,25 +216,23 @@ class Tongues:
             sums[filled] = np.add.reduceat(self.table[flat].astype(np.float64), (np.cumsum(sizes) - sizes)[filled])
         return np.column_stack([sums[:, : len(LANGUAGES)], sums[:, -1] / np.maximum(sums[:, -2], 1)])
 
-    def spoken(self, odds: np.ndarray, least: float | None = None) -> str:
-        order = np.argsort(-odds[: len(LANGUAGES)])
-        return LANGUAGES[order[0]] if odds[order[0]] - odds[order[1]] >= (self.SURE if least is None else least) else ""
+    def spoken(self, odds: Sequence[float], least: float = SURE) -> str:
+        """The language of such odds, or nothing where the second one comes within ``least``."""
+        best, second = sorted(odds[: len(LANGUAGES)], reverse=True)[:2]
+        return LANGUAGES[list(odds).index(best)] if best - second >= least else ""
 
-    def tongue(self, words: list[str], least: float | None = None) -> str:
-        """The language of the words, or nothing where the odds are less than ``least``."""
-        return self.spoken(self.judge([words])[0], least)
-
-    def wanted(self, prompt: str, words: list[str]) -> str:
-        """The language that a prompt asks for, else its own."""
-        if _ANY_NAME.search(prompt):
+    def wanted(self, prompt: str, odds: np.ndarray) -> str:
+        """The language that a prompt asks for, else its own, of which ``odds`` are the log odds."""
+        low = prompt.lower()
+        if any(stem in low for stem in _NAME_STEMS):
             named = [k for k, p in _ASKS.items() if p.search(prompt)]
             if len(named) == 1:
                 return named[0]
-        return self.tongue(words, 1.5)
+        return self.spoken(odds, 1.5)
 
 
 def question_of(prompt: str) -> str:
-    found = _LAST_PART.search(prompt)
+    found = ":" in prompt and _LAST_PART.search(prompt)
     return found[1] if found else prompt.rsplit("\n\n", 1)[-1]
 
 
@@ -276,18 +275,20 @@ def _rises(a: list[str], b: list[str], block: int = 16_384) -> list[int]:
     return [k for n, k in enumerate(at) if carries[n]]
 
 
-def _overlap(response: list[str], prompt: list[str]) -> tuple[int, int, int]:
-    """Words of the response that stand in the prompt in the same order (or in its runs of three, which may come
-    repeatedly); words of the prompt that the response has; words from the first to the last such of the response."""
-    rises = _rises(response, prompt)
-    in_order = len(rises)
-    span = _rises(response[rises[-1] :: -1], prompt[::-1])[-1] + 1 if rises else 0
-    threes = {tuple(prompt[k : k + 3]) for k in range(len(prompt) - 2)}
-    again = [False] * len(response)
-    for k in range(len(response) - 2):
-        if tuple(response[k : k + 3]) in threes:
-            again[k : k + 3] = [True] * 3
-    return max(in_order, sum(again)), in_order, span
+def _span(response: list[str], prompt: list[str], last: int) -> int:
+    """Words from the first to the last (``last``) of the response that stand in the prompt in the same order."""
+    return _rises(response[last::-1], prompt[::-1])[-1] + 1
+
+
+def _again(response: list[str], prompt: list[str]) -> int:
+    """Words of the response in runs of three that the prompt has; these may come repeatedly."""
+    threes = set(zip(prompt, prompt[1:], prompt[2:]))
+    found, end = 0, 0
+    for k, three in enumerate(zip(response, response[1:], response[2:])):
+        if three in threes:
+            found += k + 3 - max(k, end)
+            end = k + 3
+    return found
 
 
 class Asked:
@@ -296,12 +297,12 @@ class Asked:
 
     __slots__ = ("words", "within", "question", "repeat", "want", "sign")
 
-    def __init__(self, prompt: str, tongues: Tongues) -> None:
-        self.words = tokens(prompt)
+    def __init__(self, prompt: str, words: list[str], odds: Sequence[float], tongues: Tongues) -> None:
+        self.words = words
         self.within = frozenset(self.words)
         self.question = tokens(question_of(prompt))
-        self.repeat, self.want = asks_to_repeat(prompt), tongues.wanted(prompt, self.words)
-        self.sign = " ".join(re.sub(r"\d\S*", "N", w) for w in self.words[:3])
+        self.repeat, self.want = asks_to_repeat(prompt), tongues.wanted(prompt, odds)
+        self.sign = " ".join(w if w.isalpha() else re.sub(r"\d\S*", "N", w) for w in self.words[:3])
 
 
 _EDGES = (0.3, 0.5, 0.65, 0.75, 0.82, 0.88, 0.94, 0.99)
@@ -313,11 +314,15 @@ def likeness(said: list[str], asked: Asked) -> tuple[int, int, int, int] | None:
     n, common = max(len(said), 1), len([w for w in said if w in asked.within])
     if 2 * common < min(n, len(asked.words), len(asked.question)):
         return None  # no order of words could make it more
-    same, held, span = _overlap(said, asked.words)
-    held_q = held if asked.question == asked.words else _overlap(said, asked.question)[1]
-    share, cover = same / n, max(held / max(len(asked.words), 1), held_q / max(len(asked.question), 1))
+    rises = _rises(said, asked.words)
+    held = len(rises)
+    held_q = held if asked.question == asked.words else len(_rises(said, asked.question))
+    cover = max(held / max(len(asked.words), 1), held_q / max(len(asked.question), 1))
+    same = max(held, _again(said, asked.words)) if 2 * common >= n else held
+    share = same / n
     if max(share, cover) < 0.5:
         return None
+    span = _span(said, asked.words, rises[-1]) if rises else 0
     return _bin(share, _EDGES), _bin(cover, _EDGES), _bin(n - same, (1, 2, 3, 4, 5, 6, 8, 10, 15, 25)), _bin(span / n, _EDGES)
 
 
@@ -359,7 +364,7 @@ class Encoder:
         self._start()
 
     def _start(self) -> None:
-        self.asked = Memo(lambda prompt: Asked(prompt, self.tongues), 20_000)
+        self.asked: dict[str, Asked] = {}
         self.words = Memo(lambda w: zlib.crc32(w.encode()))
         self.chars = Memo(lambda name: _place("truncated", name))
         self.memos = [Memo(f) for f in (_copied, _refusal, _truncated, _language)]
@@ -371,21 +376,32 @@ class Encoder:
         self.__dict__.update(state)
         self._start()
 
+    def ask(self, prompts: Iterable[str]) -> list[Asked]:
+        """What follows from each prompt; kept for a bounded number of them."""
+        prompts = list(prompts)
+        if len(self.asked) > 20_000:
+            self.asked.clear()
+        new = [p for p in dict.fromkeys(prompts) if p not in self.asked]
+        words = [tokens(p) for p in new]
+        for prompt, its, odds in zip(new, words, self.tongues.judge(words).tolist()):
+            self.asked[prompt] = Asked(prompt, its, odds, self.tongues)
+        return [self.asked[p] for p in prompts]
+
     def encode(self, pairs: Sequence[tuple[str, str]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """By label the places of all rows one after another, the number of places of each row, and its pair. A pair is
         one row, but for refusals, where each piece of the response is one."""
-        asked = [self.asked[p] for p, _ in pairs]
+        asked = self.ask(p for p, _ in pairs)
         said = [tokens(r) for _, r in pairs]
         alike = [likeness(s, a) for s, a in zip(said, asked)]
         copied = [self.memos[0][like, a.repeat] for like, a in zip(alike, asked)]
         truncated = [self._ends(r, s, a) for (_, r), s, a in zip(pairs, said, asked)]
         language = []
-        for odds, s, a, like in zip(self.tongues.judge(said), said, asked, alike):
+        for odds, s, a, like in zip(self.tongues.judge(said).tolist(), said, asked, alike):
             n, spoken, over, differs = max(len(s), 1), "", 0.0, False
             if sum(map(str.isalpha, s)) > 1:  # one word may be a name or a unit
                 spoken = self.tongues.spoken(odds)
                 if a.want in LANGUAGES:
-                    over = odds[: len(LANGUAGES)].max() - odds[LANGUAGES.index(a.want)]
+                    over = max(odds[: len(LANGUAGES)]) - odds[LANGUAGES.index(a.want)]
                     differs = over >= self.tongues.SURE
             copy = like is not None and like[0] >= 5 and like[1] >= 5
             language.append(self.memos[3][a.want, spoken, differs, _bin(over / n, (0.1, 0.3, 0.6, 1.0)), _bin(n, (4, 8, 15)), _bin(odds[-1], (0.15, 0.3, 0.45, 0.6, 0.8)), copy])
@@ -537,14 +553,13 @@ def training_pairs(sample: list[tuple[str, str]], seed: int, encoder: Encoder) -
     by_tongue: dict[str, list[str]] = {k: [] for k in LANGUAGES}
     spoken = []
     said = [tokens(r) for _, r in sample]
-    for odds, words, (_, response) in zip(encoder.tongues.judge(said), said, sample):
+    for odds, words, (_, response) in zip(encoder.tongues.judge(said).tolist(), said, sample):
         spoken.append(encoder.tongues.spoken(odds))
         if spoken[-1] and len(words) >= 6:
             by_tongue[spoken[-1]].append(response)
     made = []
-    for row, (prompt, response) in enumerate(sample):
+    for row, ((prompt, response), asked) in enumerate(zip(sample, encoder.ask(p for p, _ in sample))):
         made.append((row, prompt, response, ""))
-        asked = encoder.asked[prompt]
         want = asked.want
         speaks = rng.choice((want, want, "en"))
         made.append((row, prompt, refuse(rng, speaks if speaks in LANGUAGES else "en", prompt), "refusal"))
@@ -643,8 +658,8 @@ def doubtful(sample: list[tuple[str, str]], encoder: Encoder, often: int = 4) ->
     refusing = _refusing()
     out = []
     words = [tokens(r) for _, r in sample]
-    for (prompt, response), said, odds in zip(sample, words, encoder.tongues.judge(words)):
-        asked, body = encoder.asked[prompt], response.strip()
+    for (_, response), asked, said, odds in zip(sample, encoder.ask(p for p, _ in sample), words, encoder.tongues.judge(words).tolist()):
+        body = response.strip()
         core = body.strip(_WRAPPING)
         is_open = len(said) > 3 and (core[-1:] not in ".!?…})]" or body.count("```") % 2 == 1 or body.count("{") != body.count("}"))
         spoken, like = encoder.tongues.spoken(odds), likeness(said, asked)
@@ -759,7 +774,10 @@ def pair_defects(df: DataFrame, *, id_col: str, prompt_col: str, response_col: s
 
     def judge(batches: Iterator) -> Iterator:
         for pdf in batches:
-            out = pdf[["id"]].assign(defect=sent.value.defects(list(zip(pdf["prompt"], pdf["response"]))))
+            pairs = list(zip(pdf["prompt"], pdf["response"]))
+            once = list(dict.fromkeys(pairs))
+            named = dict(zip(once, sent.value.defects(once)))
+            out = pdf[["id"]].assign(defect=[named[x] for x in pairs])
             yield out[out["defect"].notna()]
 
     kind = df.schema[id_col].dataType.simpleString()

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from pelorus.llm.pairs import REFUSALS, Tongues, _overlap, _rises, _within, fit, has_answer, pair_defects, tokens
+from pelorus.llm.pairs import REFUSALS, Tongues, _again, _rises, _span, _within, fit, has_answer, pair_defects, tokens
 
 CITIES = "Aarburg Belwick Corholm Dunmere Estrand Falport".split()
 
@@ -76,7 +76,8 @@ def test_long_pairs_are_judged_whole(model):
         assert [model.defect(prompt, x) for x in (prompt, prompt.upper(), question)] == ["copied"] * 3
         late = f"{notes(rng, n)} Unfortunately, I cannot provide this information."
         assert model.defect(prompt, late) == "refusal" and model.defect(prompt, notes(rng, n)) is None
-        assert _overlap(tokens(prompt), tokens(prompt)) == (len(tokens(prompt)),) * 3
+        words = tokens(prompt)
+        assert len(_rises(words, words)) == _again(words, words) == _span(words, words, len(words) - 1) == len(words)
 
 
 def test_overlap_is_the_longest_in_order():
@@ -89,14 +90,20 @@ def test_overlap_is_the_longest_in_order():
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
         want = [i for i in range(len(a)) if best[i + 1][-1] > best[i][-1]]
         assert _rises(a, b, 4) == _rises(a, b) == want
+        threes = [tuple(b[k : k + 3]) for k in range(len(b) - 2)]
+        assert _again(a, b) == len({k + j for k in range(len(a) - 2) if tuple(a[k : k + 3]) in threes for j in range(3)})
 
 
 def test_languages():
     tongues = Tongues()  # knows only the common words
-    assert tongues.tongue(tokens("Der Tag war kalt und es fiel kein Regen")) == "de" and tongues.tongue(tokens("42 mm")) == ""
+
+    def odds(text):
+        return tongues.judge([tokens(text)])[0].tolist()
+
+    assert tongues.spoken(odds("Der Tag war kalt und es fiel kein Regen")) == "de" and tongues.spoken(odds("42 mm")) == ""
     prompt = "Translate into Spanish: the low was 3 degrees and the high was 9."
-    assert tongues.wanted(prompt, tokens(prompt)) == "es"
-    assert tongues.wanted("Please answer in Italian: what is this?", []) == "other"
+    assert tongues.wanted(prompt, odds(prompt)) == "es"
+    assert tongues.wanted("Please answer in Italian: what is this?", odds("what is this?")) == "other"
     assert has_answer("ß") and not has_answer("...") and set(REFUSALS) == {"en", "de", "es", "fr"}
 
 
