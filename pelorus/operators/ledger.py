@@ -74,7 +74,8 @@ def current(df: DataFrame) -> DataFrame:
 
 def fold(log: DataFrame, key: str, order: Sequence[str] = ("seq",)) -> DataFrame:
     """The latest state row of each key. States are merged before the shuffle, so a key with a third of all rows costs
-    no more than others. Ties of ``order`` go to the greatest row; a null key is a key."""
+    no more than others; that is worth the sort that ``max_by`` over a struct takes in each partition, since a join back
+    on the latest number would shuffle every state of every key. Ties of ``order`` go to the greatest row; a null key is a key."""
     columns = [c for c in log.columns if c != key]
     state = F.struct(*(F.col(c).alias(c) for c in columns))
     latest = log.groupBy(key).agg(F.max_by(state, F.struct(*(F.col(c) for c in order), *(F.col(c) for c in columns if c not in order))).alias("_s"))
@@ -165,6 +166,29 @@ def joined_statuses(http: DataFrame, llm: DataFrame) -> DataFrame:
     return current(llm).select("http_request_id").join(http.select("http_request_id", "response_status"), "http_request_id").groupBy("response_status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def model_statuses(http: DataFrame, llm: DataFrame) -> DataFrame:
+    """Current model requests by ``http<status>`` of their HTTP request; ``no_http`` where there is none or no status."""
+    sent = current(llm).select("http_request_id").join(http.select("http_request_id", "response_status"), "http_request_id", "left")
+    label = F.coalesce(F.concat(F.lit("http"), F.col("response_status").cast("string")), F.lit("no_http"))
+    return sent.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def model_cost(llm: DataFrame, cost: Column) -> DataFrame:
+    """One row: the cost of all answered model requests, superseded ones included; 0 without any."""
+    return llm.agg(F.coalesce(F.sum(F.when(F.col("response_text").isNotNull(), cost)), F.lit(0.0)).alias("cost_usd"))
+
+
+def ok_with_extra(df: DataFrame, kind: Kind, extra: DataFrame, key: str) -> DataFrame:
+    """Successful requests with the project's extra columns; those without extra columns are left out."""
+    return df.where(kind.ok()).join(extra, key)
+
+
+def throughput(df: DataFrame, start: str, end: str) -> DataFrame:
+    """One row ``(total, seconds, rps)`` from the first start to the last end; no rate without a duration."""
+    spent = F.timestamp_diff("MICROSECOND", F.min(start), F.max(end)) / 1e6
+    return df.agg(F.count(F.lit(1)).alias("total"), spent.alias("seconds")).withColumn("rps", F.try_divide("total", "seconds"))
+
+
 def agent_totals(df: DataFrame) -> DataFrame:
     return current(df).agg(
         F.count(F.lit(1)).alias("total"),

@@ -118,32 +118,44 @@ def with_overrides(classes: Iterable[type[DataObject]], overrides: dict[type, di
     return classes
 
 
-def run(spark: SparkSession, classes: Iterable[type[DataObject]], version_id: str, *, root: str | None = None, replace: bool = False, formats: Sequence[Format] | None = None) -> list[DataObject]:
-    """Make all objects of one version in order. What exists is skipped unless ``replace``; side formats are made either way."""
-    made = []
-    for cls in ordered(classes):
-        version = next((v for v in cls.supported_versions if v.id == version_id), None)
-        if version is None:
-            raise ValueError(f"{cls.__name__} has no version {version_id!r}")
-        obj, wiring = cls(spark, version, root), cls.wiring
-        if "retries" in inspect.signature(obj.make).parameters:
-            obj.make(replace=replace, retries=wiring.retries)
-        elif isinstance(obj, ManualFiles) or replace or not obj.exists():
-            obj.make(replace=replace and not isinstance(obj, ManualFiles))
-        wanted = formats if formats is not None else wiring.formats or (cls.formats if wiring.convert else ())
-        for fmt in wanted:
-            if fmt in cls.formats and fmt is not cls.make_format and not isinstance(obj, ManualFiles):
-                try:
-                    obj.convert(fmt, replace=replace)
-                except FileExistsError:
-                    if replace:
-                        raise
-        made.append(obj)
+def partitions(classes: Iterable[type[DataObject]]) -> list[str]:
+    """The ids of the versions that all objects have, in the first one's order: the keys by which a run may be split."""
+    first, *rest = [[v.id for v in c.supported_versions] for c in classes]
+    return [i for i in first if all(i in ids for ids in rest)]
+
+
+def run(spark: SparkSession, classes: Iterable[type[DataObject]], version_id: str | Sequence[str], *, root: str | None = None, replace: bool = False, formats: Sequence[Format] | None = None) -> list[DataObject]:
+    """Make all objects of one version, or of several one after another, in order. What exists is skipped unless
+    ``replace``; side formats are made either way. Ledgers go by their own branches, with the wiring's retries."""
+    classes, made = ordered(classes), []
+    for wanted in [version_id] if isinstance(version_id, str) else version_id:
+        for cls in classes:
+            version = next((v for v in cls.supported_versions if v.id == wanted), None)
+            if version is None:
+                raise ValueError(f"{cls.__name__} has no version {wanted!r}")
+            made.append(_made(cls(spark, version, root), replace, formats))
     return made
 
 
+def _made(obj: DataObject, replace: bool, formats: Sequence[Format] | None) -> DataObject:
+    cls, wiring = type(obj), type(obj).wiring
+    if "retries" in inspect.signature(obj.make).parameters:
+        obj.make(replace=replace, retries=wiring.retries)
+    elif isinstance(obj, ManualFiles) or replace or not obj.exists():
+        obj.make(replace=replace and not isinstance(obj, ManualFiles))
+    for fmt in formats if formats is not None else wiring.formats or (cls.formats if wiring.convert else ()):
+        if fmt in cls.formats and fmt is not cls.make_format and not isinstance(obj, ManualFiles):
+            try:
+                obj.convert(fmt, replace=replace)
+            except FileExistsError:
+                if replace:
+                    raise
+    return obj
+
+
 def manifest(classes: Iterable[type[DataObject]]) -> str:
     """The objects in order as text of fixed width: asset, deps, group, formats, tags; ``-`` for nothing."""
+    # The header of the manifest.
     rows = [("asset", "deps", "group", "formats", "kwargs")]
     for c in ordered(classes):
         w = c.wiring

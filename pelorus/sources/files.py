@@ -13,15 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def listing(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, length)`` of every regular file below ``path``, in any depth; contents are not read."""
+def listing(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
+    """``(path, length)`` of every regular file below ``path``, in any depth, ``ordered`` by path; contents are not read."""
     kind = "path string, length bigint"
     from pelorus.plans.storage import Storage
 
     if not Storage(spark).exists(path):
         return spark.createDataFrame([], kind)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(path)
-    return found.select("path", "length")
+    found = found.select("path", "length")
+    return found.orderBy("path") if ordered else found
 
 
 def contents(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -36,7 +37,7 @@ def json_documents(spark: SparkSession, path: str, schema: T.StructType | str) -
 
 def tsv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A tab-separated resource with a header; rows without any value are left out."""
-    read = spark.read.csv(path, sep="\t", header=True, schema=schema)
+    read = spark.read.csv(path, sep="\t", header=True, schema=schema, quote='"', escape='"', multiLine=True)
     return read.dropna("all")
 
 
