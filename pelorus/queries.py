@@ -5,14 +5,16 @@ Every query reads its whole tables. A row that stands in a ledger table more tha
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pelorus.functions import jsontext, numbers, text
-from pelorus.operators import checks, ledger
+from pelorus.operators import checks, ledger, ledger_tables
+from pelorus.operators.asof import last_before
 from pelorus.operators.ledger import AGENT, HTTP, LLM
 from pelorus.plans.objects import Version
 from pelorus.sources import files as file_sources
@@ -65,13 +67,14 @@ def build_group_summary(spark: SparkSession, d: str) -> DataFrame:
     return query(spark, sql, frames={"lineitem": table(spark, d, "lineitem")})
 
 
-@_query("""WITH r AS (SELECT DISTINCT lower(trim(city)) AS city, ts_utc, temp_c, precip_mm FROM weather_hourly WHERE temp_c BETWEEN -95 AND 62)
-SELECT city, min(temp_c) AS temp_min_c, round(avg(temp_c), 6) AS temp_mean_c, max(temp_c) AS temp_max_c, round(sum(precip_mm), 4) AS precip_total_mm FROM r GROUP BY city""")
+_CITY = """WITH r AS (SELECT DISTINCT lower(trim(city)) AS city, ts_utc, CASE WHEN temp_c BETWEEN -95 AND 62 THEN temp_c END AS temp_c, precip_mm FROM {t})
+SELECT city, min(temp_c) AS temp_min_c, round(avg(temp_c), 6) AS temp_mean_c, max(temp_c) AS temp_max_c, round(sum(precip_mm), 4) AS precip_total_mm FROM r GROUP BY city"""
+
+
+@_query(_CITY.replace("{t}", "weather_hourly"))
 def build_city_summary(spark: SparkSession, d: str) -> DataFrame:
-    hours = table(spark, d, "weather_hourly").where(F.col("temp_c").between(-95, 62)).select(F.lower(F.trim("city")).alias("city"), "ts_utc", "temp_c", "precip_mm").distinct()
-    return hours.groupBy("city").agg(
-        F.min("temp_c").alias("temp_min_c"), F.round(F.avg("temp_c"), 6).alias("temp_mean_c"), F.max("temp_c").alias("temp_max_c"), F.round(F.sum("precip_mm"), 4).alias("precip_total_mm")
-    )
+    """All hours of each city; an unusable temperature is left out of the temperatures only."""
+    return query(spark, _CITY, frames={"t": table(spark, d, "weather_hourly")})
 
 
 @_query("""SELECT CAST(c1 AS BIGINT) AS widget_id, c2 AS name, CAST(c3 AS BIGINT) AS value FROM (VALUES (1, 'alpha', 10), (2, 'beta', 20), (3, 'gamma', 30)) AS t(c1, c2, c3) WHERE c1 > 0""")
@@ -82,14 +85,14 @@ def build_values_cast(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT r_name, 'extra' AS note, CAST(r_regionkey AS BIGINT) AS id FROM region")
 def build_literal_projection(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "region").select("r_name", F.lit("extra").alias("note"), F.col("r_regionkey").cast("bigint").alias("id"))
+    return query(spark, "SELECT r_name, :note AS note, r_regionkey::BIGINT AS id FROM {region}", {"note": "extra"}, {"region": table(spark, d, "region")})
 
 
 @_query("""SELECT r_regionkey, key, value FROM (
   SELECT r_regionkey, 'name' AS key, r_name AS value FROM region UNION ALL SELECT r_regionkey, 'id' AS key, CAST(r_regionkey AS VARCHAR) AS value FROM region)""")
 def unpivot_key_value(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "region").select("r_regionkey", F.col("r_name").alias("name"), F.col("r_regionkey").cast("string").alias("id"))
-    return rows.unpivot(["r_regionkey"], ["name", "id"], "key", "value")
+    sql = "SELECT r_regionkey, key, value FROM (SELECT r_regionkey, r_name AS name, r_regionkey::STRING AS id FROM {region}) UNPIVOT (value FOR key IN (name, id))"
+    return query(spark, sql, frames={"region": table(spark, d, "region")})
 
 
 @_query("SELECT * FROM (VALUES ('id', 'main'), ('name', 'Main'), ('description', 'every city')) AS t(key, value)")
@@ -102,7 +105,23 @@ def version_key_value(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT count(*) AS n, count(*) >= 1 AS ok FROM orders")
 def check_min_rows(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) >= 1).alias("ok"))
+    """The rows of a table, and whether the check of at least one row holds."""
+    from pelorus.plans.objects import Table
+
+    class Orders(Table):
+        id, supported_versions, checks = "orders", (Version("main"),), (checks.MinRows(1),)
+
+        @property
+        def df(self) -> DataFrame:
+            return table(spark, d, "orders")
+
+    orders = Orders(spark, Version("main"), "/nowhere")
+    try:
+        orders.run_checks()
+        ok = True
+    except checks.CheckFailedError:
+        ok = False
+    return orders.df.agg(F.count(F.lit(1)).alias("n")).withColumn("ok", F.lit(ok))
 
 
 @_query("SELECT count(*) AS rows, count(*) - count(response_status) AS response_status_nulls, count(*) - count(latency) AS latency_nulls, count(*) - count(request_url) AS request_url_nulls FROM http_requests")
@@ -176,10 +195,9 @@ def ledger_status_histogram(spark: SparkSession, d: str) -> DataFrame:
     return ledger.status_histogram(_http(spark, d, "response_status", "superseded_by_id"))
 
 
-@_query(f"SELECT CAST(coalesce(sum(response_size), 0) AS BIGINT) AS bytes_in, round(coalesce(avg(latency), 0.0), 6) AS avg_latency_s FROM {_H} WHERE response_status = 200 AND NOT isinf(coalesce(latency, 0)) AND NOT isnan(coalesce(latency, 0))")
+@_query(f"SELECT CAST(coalesce(sum(response_size), 0) AS BIGINT) AS bytes_in, round(coalesce(avg(latency) FILTER (NOT isinf(coalesce(latency, 0)) AND NOT isnan(coalesce(latency, 0))), 0.0), 6) AS avg_latency_s FROM {_H} WHERE response_status = 200")
 def ledger_ok_aggregates(spark: SparkSession, d: str) -> DataFrame:
-    rows = _http(spark, d, "response_status", "response_size", "latency").where(F.col("latency").isNull() | (~F.isnan("latency") & (F.abs("latency") < float("inf"))))
-    return ledger.ok_aggregates(rows).withColumn("avg_latency_s", F.round("avg_latency_s", 6))
+    return ledger.ok_aggregates(_http(spark, d, "response_status", "response_size", "latency")).withColumn("avg_latency_s", F.round("avg_latency_s", 6))
 
 
 @_query(f"""SELECT http_request_group_id, count(*) AS total, count(*) FILTER (response_status <> 200) AS failed, round(count(*) FILTER (response_status <> 200) / count(*), 9) AS rate
@@ -254,7 +272,8 @@ def cost_forecast(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT s_suppkey, n_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
 def dimension_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", "n_name")
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    return ledger_tables.lookup(table(spark, d, "supplier"), nations, "s_nationkey").select("s_suppkey", "n_name")
 
 
 @_query("""WITH q AS (SELECT DISTINCT doc_id, unnest([doc_id + 1, doc_id, -1]) AS file, unnest([0, 1, 2]) AS at FROM documents), f AS (SELECT DISTINCT doc_id, n_chars FROM documents)
@@ -268,7 +287,8 @@ def attachment_join(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 3")
 def topk_event_types(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "event_type").limit(3)
+    """A top-k report."""
+    return query(spark, "SELECT event_type, count(*) AS n FROM {events} GROUP BY event_type ORDER BY n DESC, event_type LIMIT :k", {"k": 3}, {"events": table(spark, d, "events")})
 
 
 # --- functions
@@ -387,59 +407,62 @@ def parse_response_choices(spark: SparkSession, d: str) -> DataFrame:
     return bodies.select("agent_message_id", jsontext.response_text(F.lit("choices"), F.lit(200), F.col("body")).alias("answer"))
 
 
-@_query("SELECT user_id, count(*) - 1 AS n FROM events GROUP BY user_id HAVING count(*) > 1")
+@_query("SELECT l_orderkey, count(*) - 1 AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1")
 def zip_shortest_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """Per user: arrays of unequal length zipped; as many entries as the shorter one has."""
-    lists = table(spark, d, "events").groupBy("user_id").agg(F.collect_list("event_id").alias("a"))
-    zipped = lists.select("user_id", F.explode(jsontext.zip_shortest({"a": F.col("a"), "b": F.slice("a", F.lit(2), F.size("a"))})).alias("z"))
-    return zipped.groupBy("user_id").agg(F.count("z.b").alias("n"))
-
-
-# --- SQL that any build may use
-
-
-@_query("""SELECT o_custkey, o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS INT) AS rank,
-  lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous FROM orders""")
-def sql_windows(spark: SparkSession, d: str) -> DataFrame:
-    by = Window.partitionBy("o_custkey")
-    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.rank().over(by.orderBy(F.desc("o_totalprice"))).alias("rank"), F.lag("o_orderkey").over(by.orderBy("o_orderdate", "o_orderkey")).alias("previous"))
-
-
-@_query("""(SELECT c_nationkey AS k, 'both' AS side FROM customer INTERSECT SELECT s_nationkey, 'both' FROM supplier)
-UNION ALL (SELECT c_nationkey, 'customer' FROM customer EXCEPT SELECT s_nationkey, 'customer' FROM supplier)""")
-def sql_set_operations(spark: SparkSession, d: str) -> DataFrame:
-    a, b = table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
-    return a.intersect(b).withColumn("side", F.lit("both")).unionByName(a.subtract(b).withColumn("side", F.lit("customer")))
-
-
-@_query("""SELECT 'semi' AS kind, count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)
-UNION ALL SELECT 'anti', count(*) FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)
-UNION ALL SELECT 'full', count(*) FROM customer c FULL JOIN orders o ON c.c_custkey = o.o_custkey""")
-def sql_joins(spark: SparkSession, d: str) -> DataFrame:
-    c, o = table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    counts = [c.join(o, "c_custkey", how).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("kind"), "n") for name, how in (("semi", "left_semi"), ("anti", "left_anti"), ("full", "full"))]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
-
-
-@_query("SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(grouping(l_linestatus) AS INT) AS g FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
-def sql_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.grouping("l_linestatus").cast("int").alias("g"))
-
-
-@_query("""SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'error') AS error FROM events GROUP BY user_id""")
-def sql_pivot(spark: SparkSession, d: str) -> DataFrame:
-    pivoted = table(spark, d, "events").groupBy("user_id").pivot("event_type", ["click", "error"]).count()
-    return pivoted.select("user_id", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("click", "error")))
+    """Per order, which has a few lines: arrays of unequal length zipped; as many entries as the shorter one has."""
+    lists = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("a"))
+    zipped = lists.select("l_orderkey", F.explode(jsontext.zip_shortest({"a": F.col("a"), "b": F.slice("a", F.lit(2), F.size("a"))})).alias("z"))
+    return zipped.groupBy("l_orderkey").agg(F.count("z.b").alias("n"))
+
+
+# --- SQL that any build may use: the text goes through the engine's own source of SQL
+
+
+def _sql_query(name: str, sql: str, spark_sql: str | None = None) -> None:
+    """Register a SQL text with its tables; ``spark_sql`` where Spark spells it otherwise."""
+    from pelorus.sources.sql import spark_text
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        names = sorted({n for n in re.findall(r"\{(\w+)\}", sql)})
+        return query(spark, spark_text(spark_sql or sql), frames={n: table(spark, d, n) for n in names})
+
+    run.__name__ = name
+    _query(re.sub(r"\{(\w+)\}", r"\1", sql))(run)
+
+
+_sql_query(
+    "sql_windows",
+    """SELECT o_custkey, o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS INT) AS rank,
+  lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous FROM {orders}""",
+)
+_sql_query(
+    "sql_set_operations",
+    """(SELECT c_nationkey AS k, 'both' AS side FROM {customer} INTERSECT SELECT s_nationkey, 'both' FROM {supplier})
+UNION ALL (SELECT c_nationkey, 'customer' FROM {customer} EXCEPT SELECT s_nationkey, 'customer' FROM {supplier})""",
+)
+_sql_query(
+    "sql_joins",
+    """SELECT 'semi' AS kind, count(*) AS n FROM {customer} WHERE c_custkey IN (SELECT o_custkey FROM {orders})
+UNION ALL SELECT 'anti', count(*) FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)
+UNION ALL SELECT 'full', count(*) FROM {customer} c FULL JOIN {orders} o ON c.c_custkey = o.o_custkey""",
+)
+_sql_query("sql_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(grouping(l_linestatus) AS INT) AS g FROM {lineitem} GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+_sql_query(
+    "sql_pivot",
+    "SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'error') AS error FROM {events} GROUP BY user_id",
+    """SELECT user_id, coalesce(click, 0) AS click, coalesce(error, 0) AS error
+FROM (SELECT user_id, event_type, 1 AS one FROM {events}) PIVOT (count(one) FOR event_type IN ('click' AS click, 'error' AS error))""",
+)
 
 
 @_query("""SELECT e.event_id, (SELECT max(p.event_id) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'click' AND (p.ts < e.ts OR (p.ts = e.ts AND p.event_id < e.event_id))
   AND p.ts = (SELECT max(q.ts) FROM events q WHERE q.user_id = e.user_id AND q.event_type = 'click' AND (q.ts < e.ts OR (q.ts = e.ts AND q.event_id < e.event_id)))) AS last_click
 FROM events e WHERE e.event_type = 'purchase'""")
 def asof_last_click(spark: SparkSession, d: str) -> DataFrame:
-    """Each purchase with the user's last click before it: an as-of join as one sorted pass."""
-    before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    click = F.last(F.when(F.col("event_type") == "click", F.col("event_id")), ignorenulls=True).over(before)
-    return table(spark, d, "events").select("event_id", "user_id", "ts", "event_type").withColumn("last_click", click).where(F.col("event_type") == "purchase").select("event_id", "last_click")
+    """Each purchase with the user's last click before it; users are split by days."""
+    rows = table(spark, d, "events").where(F.col("event_type").isin("click", "purchase")).select("event_id", "user_id", "ts", "event_type")
+    found = last_before(rows, by="user_id", order=("ts", "event_id"), source=F.col("event_type") == "click", value=F.col("event_id"), span=F.to_date("ts"), name="last_click")
+    return found.where(F.col("event_type") == "purchase").select("event_id", "last_click")
 
 
 @_query("""SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL""")
