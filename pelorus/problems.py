@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pelorus.operators.proximity import near_pairs
+from pelorus.operators.proximity import near_pairs, near_places, points_in_regions
 from pelorus.operators.spikes import flag_implausible
 from pelorus.sources.tables import table
 
@@ -23,8 +23,28 @@ def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     return near_pairs(table(spark, directory, "weather_cities"), id_col="city_id", lat_col="latitude", lon_col="longitude", radius_km=5.0).select("city_id_a", "city_id_b")
 
 
+def p4_places(spark: SparkSession, directory: str) -> DataFrame:
+    """Each place with its locations and how many others lie at most 5 km away."""
+    return near_places(table(spark, directory, "weather_cities"), id_col="city_id", lat_col="latitude", lon_col="longitude", radius_km=5.0)
+
+
+#: Made regions by name, as corners of latitude and longitude: a concave one, one over the date line, two caps that overlap it.
+REGIONS = {
+    "concave": [(-30.3, -20.1), (62.7, -15.2), (20.4, 12.9), (58.1, 61.3), (-28.6, 55.7)],
+    "date_line": [(-41.2, 150.3), (44.6, 158.8), (39.1, -139.7), (-35.9, -128.4)],
+    "north": [(50.5, float(x)) for x in range(-170, 190, 40)],
+    "south": [(-33.25, float(-x)) for x in range(-170, 190, 40)],
+}
+
+
+def p4_regions(spark: SparkSession, directory: str) -> DataFrame:
+    """The made regions that contain each location."""
+    rings = spark.createDataFrame([(n, [{"lat": y, "lon": x} for y, x in ring]) for n, ring in REGIONS.items()], "region string, ring array<struct<lat:double,lon:double>>")
+    return points_in_regions(table(spark, directory, "weather_cities"), rings, id_col="city_id", lat_col="latitude", lon_col="longitude", region_col="region", ring_col="ring", cell_deg=2.0)
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_reasons": p1_reasons, "p4_found": p4_found}
+    return {q.__name__: q for q in (p1_found, p1_reasons, p4_found, p4_places, p4_regions)}
 
 
 _P1 = r"""
@@ -77,9 +97,41 @@ WHERE 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2),
 """
 
 
+_PLACES = """
+WITH p AS (
+  SELECT DISTINCT city_id, latitude + 0.0 AS lat, longitude + 0.0 AS lon FROM weather_cities
+  WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT isnan(latitude) AND NOT isnan(longitude) AND NOT (latitude = 0 AND longitude = 0)),
+q AS (SELECT lat, lon, count(*) AS n FROM p GROUP BY 1, 2)
+SELECT a.lat AS latitude, a.lon AS longitude, a.n AS points, CAST(coalesce(sum(b.n), 0) AS BIGINT) AS near
+FROM q a LEFT JOIN q b ON NOT (a.lat = b.lat AND a.lon = b.lon) AND abs(a.lat - b.lat) < 0.05
+  AND 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 5
+GROUP BY a.lat, a.lon, a.n
+"""
+
+
+def _regions_sql() -> str:
+    """Even-odd rule by every edge; the ring over the date line with longitudes from 0 to 360, the caps by latitude."""
+    edges = []
+    for name in ("concave", "date_line"):
+        ring = [(y, x % 360 if name == "date_line" else x) for y, x in REGIONS[name]]
+        edges += [f"('{name}', {y1}, {x1}, {y2}, {x2})" for (y1, x1), (y2, x2) in zip(ring, ring[1:] + ring[:1])]
+    return f"""
+WITH p AS (
+  SELECT DISTINCT city_id, latitude AS lat, longitude AS lon FROM weather_cities
+  WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT isnan(latitude) AND NOT isnan(longitude) AND NOT (latitude = 0 AND longitude = 0)),
+e AS (SELECT region, y1::DOUBLE AS y1, x1::DOUBLE AS x1, y2::DOUBLE AS y2, x2::DOUBLE AS x2 FROM (VALUES {", ".join(edges)}) AS t(region, y1, x1, y2, x2)),
+hits AS (
+  SELECT city_id, lat, lon, region, count(*) AS n FROM p, e
+  WHERE (y1 > lat) <> (y2 > lat) AND CASE WHEN region = 'date_line' AND lon < 0 THEN lon + 360 ELSE lon END < x1 + (lat - y1) / (y2 - y1) * (x2 - x1) GROUP BY ALL)
+SELECT DISTINCT city_id, region FROM hits WHERE n % 2 = 1
+UNION SELECT city_id, 'north' FROM p WHERE lat > 50.5 UNION SELECT city_id, 'south' FROM p WHERE lat < -33.25"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _P1 + "SELECT DISTINCT obs_id FROM found",
         "p1_reasons": _P1 + "SELECT obs_id, reason FROM found",
         "p4_found": _P4,
+        "p4_places": _PLACES,
+        "p4_regions": _regions_sql(),
     }
