@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,43 +60,79 @@ def item_words(text: str) -> tuple[list[str], list[int]]:
 class Patterns:
     """Wu-Manber tables over items' windows of ``size`` words; a symbol is a word, a block is two.
 
-    ``shift``: how far the search may jump when a window of the text ends with a block; a block of no pattern allows
-    ``size - 1``. ``buckets``: the windows (item, start) that end with a block, which are compared word by word.
+    ``shifts``, by the hash of a block: how far the search may jump when a window of the text ends with it (the least of
+    the blocks with that hash); a block of no pattern allows ``size - 1``. A bucket holds the windows that end with a
+    block, which are compared word by word. All of it lies in arrays, some 60 bytes a word of the items, which are built
+    once and sent to the workers as they are.
     """
 
-    def __init__(self, items: list[tuple[int, list[str], list[int], list[bool]]], size: int) -> None:
-        self.size, self.items = size, items
-        self.shift: dict[tuple[str, str], int] = {}
-        self.buckets: dict[tuple[str, str], list[tuple[str, int, int]]] = defaultdict(list)
-        for n, (_, parts, _, shared) in enumerate(items):
-            for start in range(len(parts) - size + 1):
-                if all(shared[start : start + size]):
-                    continue  # counts for nothing, and an unshared passage has other windows
-                for end in range(2, size + 1):
-                    block = (parts[start + end - 2], parts[start + end - 1])
-                    self.shift[block] = min(self.shift.get(block, size), size - end)
-                self.buckets[parts[start + size - 2], parts[start + size - 1]].append((parts[start], n, start))
-
-    def search(self, text: list[str]) -> dict[int, list[tuple[int, int]]]:
-        """By item: where a pattern occurs, as (position in the text, position in the item)."""
-        size, far = self.size, self.size - 1
-        shift, found, at, end = self.shift.get, defaultdict(list), size - 1, len(text)
+    SPREAD = 0x9E3779B1
+
+    def __init__(self, items: Iterable[tuple[int, list[str], list[int], list[bool]]], size: int) -> None:
+        self.size, self.ids, self.vocabulary = size, [], {}
+        words, owners, hidden, bounds = array("i"), array("i"), bytearray(), [0]
+        number = self.vocabulary.setdefault
+        for item, parts, owner, shared in items:
+            self.ids.append(item)
+            words.extend([number(w, len(self.vocabulary)) for w in parts])
+            owners.extend(owner)
+            hidden.extend(shared)
+            bounds.append(len(words))
+        self.words, self.owners, self.hidden, self.bounds = words, owners, bytes(hidden), np.array(bounds, np.int64)
+        self.factor = len(self.vocabulary) + 1
+        flat = np.frombuffer(words, np.int32).astype(np.int64) if words else np.zeros(0, np.int64)
+        pairs = flat[:-1] * self.factor + flat[1:]
+        ends = np.repeat(self.bounds[1:], np.diff(self.bounds))  # of each word's item
+        unseen = np.concatenate([[0], np.cumsum(np.frombuffer(self.hidden, np.uint8) == 0)])
+        starts = np.flatnonzero(np.arange(len(flat)) + size <= ends)
+        starts = starts[unseen[starts + size] > unseen[starts]]  # what is all shared counts for nothing, and an unshared passage has other windows
+        self.blocks = np.unique(pairs[starts + size - 2])
+        self.mask = (1 << max(10, (16 * max(len(starts), 1) - 1).bit_length())) - 1
+        shifts = np.full(self.mask + 1, size - 1, np.uint8)
+        for e in range(size - 1):
+            at = starts + e
+            np.minimum.at(shifts, (flat[at] * self.SPREAD + flat[at + 1]) & self.mask, size - 2 - e)
+        self.shifts = shifts.tobytes()
+        order = np.argsort(pairs[starts + size - 2], kind="stable")
+        self.windows = starts[order].astype(np.int32)
+        self.begins = np.searchsorted(pairs[starts + size - 2][order], self.blocks)
+        self.begins = np.append(self.begins, len(starts)).astype(np.int32)
+
+    def numbers(self, text: list[str]) -> list[int]:
+        """A text's words as numbers of the items' words, and one more number for all others."""
+        get, other = self.vocabulary.get, self.factor - 1
+        return [get(w, other) for w in text]
+
+    def item(self, n: int) -> tuple[int, list[int], list[int], list[bool]]:
+        """Id, words, owners and shared marks of an item."""
+        a, b = int(self.bounds[n]), int(self.bounds[n + 1])
+        return self.ids[n], self.words[a:b].tolist(), self.owners[a:b].tolist(), list(map(bool, self.hidden[a:b]))
+
+    def search(self, text: list[int]) -> dict[int, list[tuple[int, int]]]:
+        """By item: where a pattern occurs, as (position in the text, position in the item). ``text``: :meth:`numbers`."""
+        far, spread, mask, shifts = self.size - 1, self.SPREAD, self.mask, self.shifts
+        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        at, end, size = far, len(text), self.size
         while at < end:
-            if jump := shift((text[at - 1], text[at]), far):
+            if jump := shifts[(text[at - 1] * spread + text[at]) & mask]:
                 at += jump
                 continue
+            pair = text[at - 1] * self.factor + text[at]
+            block = int(np.searchsorted(self.blocks, pair))
+            if block == len(self.blocks) or self.blocks[block] != pair:
+                at += 1  # another block with this hash
+                continue
             first = at - far
-            head, window = text[first], None
-            for word, n, start in self.buckets.get((text[at - 1], text[at]), ()):
-                if word == head:
-                    window = window or text[first : at + 1]
-                    if self.items[n][1][start : start + size] == window:
-                        found[n].append((first, start))
+            window = array("i", text[first : at + 1])
+            for start in self.windows[self.begins[block] : self.begins[block + 1]].tolist():
+                if self.words[start] == window[0] and self.words[start : start + size] == window:
+                    n = int(np.searchsorted(self.bounds, start, "right")) - 1
+                    found[n].append((first, start - int(self.bounds[n])))
             at += 1
         return found
 
 
-def _reach(text: list[str], item: list[str], i: int, j: int, step: int, most: int, rate: float, spare: float) -> list[int]:
+def _reach(text: list[int], item: list[int], i: int, j: int, step: int, most: int, rate: float, spare: float) -> list[int]:
     """From (i, j) on in one direction: by number of changes, 0 to ``most``, how many item words can be passed so that
     the last one is equal in the text; ends where there are over ``spare`` changes more than ``rate`` allows for these.
     Edit distance by furthest-reaching diagonals (Landau-Vishkin)."""
@@ -123,7 +161,7 @@ def _reach(text: list[str], item: list[str], i: int, j: int, step: int, most: in
     return best
 
 
-def holds_passage(text: list[str], parts: list[str], owner: list[int], shared: list[bool], hits: list[tuple[int, int]], exact: int, loose: int, rate: float) -> bool:
+def holds_passage(text: list[int], parts: list[int], owner: list[int], shared: list[bool], hits: list[tuple[int, int]], exact: int, loose: int, rate: float) -> bool:
     """Whether a passage around one of the hits is long enough: ``exact`` words in a row, or ``loose`` words of which at
     most ``rate`` are changed, left out or put in. Words count as the item has them between white space, without the
     wording that several items share; a passage begins and ends with a word that is equal in both."""
@@ -176,6 +214,15 @@ def _shared_parts(items: DataFrame, id_col: str, text_col: str, size: int) -> Da
     return all_windows.join(common, "window", "left_semi").groupBy("item").agg(F.collect_set("start").alias("starts"))
 
 
+def _prepared(rows: list, exact: int) -> Iterator[tuple[int, list[str], list[int], list[bool]]]:
+    for row in rows:
+        parts, owner = item_words(row["text"])
+        shared = [False] * len(parts)
+        for start in row["starts"] or ():
+            shared[start : start + exact] = [True] * len(shared[start : start + exact])
+        yield row["item"], parts, owner, shared
+
+
 def leaked_items(
     docs: DataFrame,
     items: DataFrame,
@@ -210,25 +257,18 @@ def leaked_items(
     found = None
     for k in range(blocks):
         rows = with_shared.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()  # at most about block_bytes
-        prepared = []
-        for row in rows:
-            parts, owner = item_words(row["text"])
-            shared = [False] * len(parts)
-            for start in row["starts"] or ():
-                shared[start : start + exact] = [True] * len(shared[start : start + exact])
-            prepared.append((row["item"], parts, owner, shared))
-        sent = docs.sparkSession.sparkContext.broadcast(prepared)
+        sent = docs.sparkSession.sparkContext.broadcast(Patterns(_prepared(rows, exact), seed))  # a worker reads it once
 
         def scan(batches: Iterator, sent=sent) -> Iterator:
             import pandas as pd
 
-            patterns = Patterns(sent.value, seed)
+            patterns = sent.value
             for pdf in batches:
                 cases = []
                 for doc, text in zip(pdf["doc"], pdf["text"]):
-                    tokens = words_of(text)
+                    tokens = patterns.numbers(words_of(text))
                     for n, hits in patterns.search(tokens).items():
-                        item, parts, owner, shared = patterns.items[n]
+                        item, parts, owner, shared = patterns.item(n)
                         if holds_passage(tokens, parts, owner, shared, hits, exact, loose, rate):
                             cases.append((doc, item))
                 yield pd.DataFrame(cases, columns=["doc", "item"])

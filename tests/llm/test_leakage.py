@@ -37,7 +37,7 @@ def test_search_finds_every_window():
         at = rng.randrange(30)
         words[20:28] = items[n][1][at : at + 8]
         want = {(k, i, s) for k, (_, parts, _, _) in enumerate(items) for s in range(len(parts) - 4) for i in range(len(words) - 4) if words[i : i + 5] == parts[s : s + 5]}
-        assert {(k, i, s) for k, hits in patterns.search(words).items() for i, s in hits} == want
+        assert {(k, i, s) for k, hits in patterns.search(patterns.numbers(words)).items() for i, s in hits} == want
 
 
 def test_words_without_disguise():
@@ -94,8 +94,9 @@ def passage(text, item, loose=20, rate=1 / 6.5):
 
 def found(words, item):
     n = len(item)
-    hits = Patterns([(0, item, list(range(n)), [False] * n)], 5).search(words)
-    return 0 in hits and holds_passage(words, item, list(range(n)), [False] * n, hits[0], 12, 20, 1 / 6.5)
+    patterns = Patterns([(0, item, list(range(n)), [False] * n)], 5)
+    hits = patterns.search(numbers := patterns.numbers(words))
+    return 0 in hits and holds_passage(numbers, *patterns.item(0)[1:], hits[0], 12, 20, 1 / 6.5)
 
 
 def test_uneven_edits_equal_brute_force():
@@ -124,6 +125,15 @@ def test_lone_right_words_between_changes(spark):
         assert passage(words, items[0][1].split()) and leaks(spark, [(1, " ".join(words))], items) == {(1, 1)}
 
 
+def test_tables_of_many_items_are_small():
+    import pickle
+
+    rng = random.Random(6)
+    vocabulary = [f"{a}{b}" for a in WORDS for b in range(1500)]
+    items = ((k, [rng.choice(vocabulary) for _ in range(200)], list(range(200)), [False] * 200) for k in range(1000))
+    assert len(pickle.dumps(Patterns(items, 5))) < 200_000 * 50  # bytes a word
+
+
 def test_empty_tables(spark):
     item = [(1, " ".join(WORDS))]
     assert leaks(spark, [], item) == set() and leaks(spark, [(1, " ".join(WORDS))], []) == set()
