@@ -619,7 +619,7 @@ def _fit(rows: list[list[np.ndarray]], labels: list[list[str]], epochs: int, rat
         target = np.array([y == name for y in labels[label]], np.float32)
         # A label says nothing about another label's defects of higher rank: these rows are left out.
         usable = np.array([k for k, y in enumerate(labels[label]) if not y or y == name or LABELS.index(y) > label or name in ("language", "refusal")])
-        for _ in range(epochs):
+        for _ in range(epochs * (3 if name == "refusal" else 1)):  # more turns for what is dropped at random
             rng.shuffle(usable)
             for start in range(0, len(usable), 64):
                 batch = usable[start : start + 64]
@@ -716,7 +716,7 @@ def fit(sample: list[tuple[str, str]], *, epochs: int = 3, rate: float = 0.3, de
                 if errors < best and upper - score > 1e-6:  # equal scores stay together
                     best, stretch = errors, [score, upper]
             # Made defects are plainer than true ones, and wording that was never seen scores near 0, so 0 is not left far behind.
-            thresholds.append(min(max(sum(stretch) / 2, -0.75), 0.75))
+            thresholds.append(min(max(sum(stretch) / 2, -1.5), 0.75))
         model = PairModel(weights, thresholds, encoder)
         if turn == 0:
             if not learned or not sample:
