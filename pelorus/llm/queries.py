@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pelorus.llm.bpe import encode_corpus
 from pelorus.llm.conversations import conversations, drop_reasons
 from pelorus.llm.leakage import leaked_items
 from pelorus.llm.pairs import pair_defects
-from pelorus.llm.percentiles import compact_id, is_value, merge_counts, percentiles, quantised, value_counts
+from pelorus.llm.percentiles import compact_id, is_value, merge_counts, percentiles, quantised, text_of_id, value_counts
 from pelorus.llm.readability import DEMANDING, reading_grades
 from pelorus.sources.tables import table
 
@@ -32,6 +34,8 @@ def _requests(spark: SparkSession, directory: str, *columns: str, bits: int | No
             kept.append(F.col(c).cast("date").alias("day"))
         elif c in ("latency", "response_size"):
             kept.append(F.when(is_value(number), quantised(number, bits)).alias(c))
+        elif c == "http_request_group_id":
+            kept.append(compact_id(F.col(c)).alias(c))
         else:
             kept.append(F.col(c))
     return table(spark, directory, "http_requests").select(compact_id(F.col("http_request_id")).alias("id"), *kept).distinct()
@@ -39,19 +43,36 @@ def _requests(spark: SparkSession, directory: str, *columns: str, bits: int | No
 
 def p2_percentiles(spark: SparkSession, directory: str) -> DataFrame:
     """Percentiles of latency and size per status, group and day, within a relative error of 2**-10."""
-    rows = _requests(spark, directory, "response_status", "http_request_group_id", "requested_at_utc", "latency", "response_size", bits=BITS).select(
-        F.explode(
-            F.array(
-                F.struct(F.lit("status").alias("dimension"), F.col("response_status").cast("string").alias("key")),
-                F.struct(F.lit("group").alias("dimension"), F.col("http_request_group_id").alias("key")),
-                F.struct(F.lit("day").alias("dimension"), F.col("day").cast("string").alias("key")),
-            )
-        ).alias("d"),
-        F.array(F.struct(F.lit("latency").alias("measure"), F.col("latency").alias("x")), F.struct(F.lit("response_size").alias("measure"), F.col("response_size").alias("x"))).alias("m"),
-    )
-    values = rows.select("d.dimension", "d.key", F.explode("m").alias("m")).select("dimension", "key", "m.measure", "m.x")
+    rows = _requests(spark, directory, "response_status", "http_request_group_id", "requested_at_utc", "latency", "response_size", bits=BITS)
+    keys = {"status": F.col("response_status").cast("string").cast("binary"), "group": F.col("http_request_group_id"), "day": F.col("day").cast("string").cast("binary")}
+    measures = ("latency", "response_size")
+
+    def number(k: int) -> Column:  # names are put in place of numbers at the end
+        return F.lit(k).cast("tinyint")
+
+    values = rows.select(
+        F.explode(F.array(*(F.struct(number(k).alias("dimension"), key.alias("key")) for k, key in enumerate(keys.values())))).alias("d"),
+        F.array(*(F.struct(number(k).alias("measure"), F.col(m).alias("x")) for k, m in enumerate(measures))).alias("m"),
+    ).select("d.dimension", "d.key", F.explode("m").alias("m")).select("dimension", "key", "m.measure", "m.x")
     groups = ["dimension", "key", "measure"]
-    return percentiles(value_counts(values, groups, "x"), groups, PER_MYRIAD)
+    found = percentiles(value_counts(values, groups, "x"), groups, PER_MYRIAD)
+
+    def named(names: Iterable[str], k: str) -> Column:
+        return F.get(F.array(*map(F.lit, names)), F.col(k))
+
+    key = F.when(F.col("dimension") == 1, text_of_id(F.col("key"))).otherwise(F.col("key").cast("string"))
+    return found.select(named(keys, "dimension").alias("dimension"), key.alias("key"), named(measures, "measure").alias("measure"), "per_myriad", "total", "value")
+
+
+def p2_error(spark: SparkSession, directory: str) -> DataFrame:
+    """Percentiles of latency per status: the exact value, and whether the reported one lies within the stated error."""
+    rows = _requests(spark, directory, "response_status", "latency")
+    groups = ["response_status"]
+    exact, near = (percentiles(value_counts(rows, groups, "latency", bits=b), groups, PER_MYRIAD) for b in (None, BITS))
+    other = near.select(F.col("response_status").alias("_s"), F.col("per_myriad").alias("_q"), F.col("value").alias("_v"))
+    both = exact.join(other, F.col("response_status").eqNullSafe(F.col("_s")) & (F.col("per_myriad") == F.col("_q")))
+    within = F.abs(F.col("value") - F.col("_v")) <= F.abs("value") * 2.0**-BITS
+    return both.select("response_status", "per_myriad", "value", within.alias("within"))
 
 
 def p2_exact_by_status(spark: SparkSession, directory: str) -> DataFrame:
@@ -107,7 +128,7 @@ def p8_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (p2_percentiles, p2_exact_by_status, p2_merged_days, p3_found, p5_found, p5_conversations, p6_ids, p7_found, p8_found, p8_grades)
+    own = (p2_percentiles, p2_exact_by_status, p2_merged_days, p2_error, p3_found, p5_found, p5_conversations, p6_ids, p7_found, p8_found, p8_grades)
     return {q.__name__: q for q in own}
 
 
@@ -151,6 +172,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_percentiles": _sql_percentiles(every, "dimension, key, measure", _sql_cut("x")),
         "p2_exact_by_status": _sql_percentiles(f"SELECT response_status, latency AS x FROM {requests}", "response_status", "x"),
+        "p2_error": f"SELECT response_status, per_myriad, value, true AS within FROM ({_sql_percentiles(f'SELECT response_status, latency AS x FROM {requests}', 'response_status', 'x')})",
         "p2_merged_days": _sql_percentiles(f"SELECT response_status, response_size::DOUBLE AS x FROM {requests}", "response_status", _sql_cut("x")),
         "p5_found": _TURNS + "SELECT agent_task_id, reason FROM found WHERE reason IS NOT NULL",
         "p5_conversations": _TURNS

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pelorus.llm.percentiles import compact_id, merge_counts, percentiles, quantised, value_counts
+from pelorus.llm.percentiles import compact_id, merge_counts, percentiles, quantised, text_of_id, value_counts
 
 SCHEMA = "g string, day int, x double, n long, value string, total string"
 
@@ -42,6 +42,8 @@ def test_percentiles_equal_sorted_lists(spark, bits):
     got = percentiles(value_counts(frame(spark, rows), ["g"], "x", bits=bits), ["g"], q).collect()
     assert {(r.g, r.per_myriad): (r.total, r.value) for r in got} == brute(rows, q, bits)
     assert len(got) == len(brute(rows, q, bits))
+    small = percentiles(value_counts(frame(spark, rows), ["g"], "x", bits=bits), ["g"], q, piece_bits=1, most_broadcast=0).collect()
+    assert sorted(map(tuple, small), key=repr) == sorted(map(tuple, got), key=repr)
 
 
 def test_days_put_together_equal_the_whole(spark):
@@ -67,4 +69,5 @@ def test_empty_table_and_no_values(spark):
 def test_compact_ids_stay_apart(spark):
     ids = ["0123abcd-0123-4567-89ab-0123456789ab", "0123abcd-0123-4567-89ab-0123456789ac", "0123ABCD-0123-4567-89AB-0123456789AB", "", "x", None]
     got = [r.c for r in spark.createDataFrame([(i,) for i in ids], "i string").select(compact_id(F.col("i")).alias("c")).collect()]
+    assert [r.t for r in spark.createDataFrame([(i,) for i in ids], "i string").select(text_of_id(compact_id(F.col("i"))).alias("t")).collect()] == ids
     assert len({bytes(c) for c in got if c is not None}) == 5 and got[-1] is None and len(got[0]) == 16
