@@ -97,10 +97,11 @@ WHERE 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2),
 """
 
 
+#: That a number is none is told by its text here, since the statistics of a file may hide it from isnan.
 _PLACES = """
 WITH p AS (
   SELECT DISTINCT city_id, latitude + 0.0 AS lat, longitude + 0.0 AS lon FROM weather_cities
-  WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT isnan(latitude) AND NOT isnan(longitude) AND NOT (latitude = 0 AND longitude = 0)),
+  WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND CAST(latitude AS VARCHAR) <> 'nan' AND CAST(longitude AS VARCHAR) <> 'nan' AND NOT (latitude = 0 AND longitude = 0)),
 q AS (SELECT lat, lon, count(*) AS n FROM p GROUP BY 1, 2)
 SELECT a.lat AS latitude, a.lon AS longitude, a.n AS points, CAST(coalesce(sum(b.n), 0) AS BIGINT) AS near
 FROM q a LEFT JOIN q b ON NOT (a.lat = b.lat AND a.lon = b.lon) AND abs(a.lat - b.lat) < 0.05
@@ -118,7 +119,7 @@ def _regions_sql() -> str:
     return f"""
 WITH p AS (
   SELECT DISTINCT city_id, latitude AS lat, longitude AS lon FROM weather_cities
-  WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT isnan(latitude) AND NOT isnan(longitude) AND NOT (latitude = 0 AND longitude = 0)),
+  WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND CAST(latitude AS VARCHAR) <> 'nan' AND CAST(longitude AS VARCHAR) <> 'nan' AND NOT (latitude = 0 AND longitude = 0)),
 e AS (SELECT region, y1::DOUBLE AS y1, x1::DOUBLE AS x1, y2::DOUBLE AS y2, x2::DOUBLE AS x2 FROM (VALUES {", ".join(edges)}) AS t(region, y1, x1, y2, x2)),
 hits AS (
   SELECT city_id, lat, lon, region, count(*) AS n FROM p, e

@@ -65,6 +65,57 @@ def test_fresh_resume_complete_and_retry(spark, tmp_path):
         checks.MinRequests(6).run(r)
 
 
+def test_compaction_survives_a_crash(spark, tmp_path):
+    r = make(spark, tmp_path, {})
+    want = {x.http_request_id: x.response_status for x in r.states().collect()}
+    log, old, aside = r.path(), f"{r.path()}.old", f"{r.path()}.compact"
+    r.states().select(*r.log_schema.names).write.parquet(aside)
+    r.storage.rename(log, old)  # and then it crashed: the old log is whole
+    assert {x.http_request_id: x.response_status for x in r.states().collect()} == want and r.storage.exists(log)
+    r.compact()
+    assert {x.http_request_id: x.response_status for x in r.states().collect()} == want and not r.storage.exists(old) and not r.storage.exists(aside)
+    assert r.log().count() == 5
+
+
+def test_errors_and_empty_ledgers(spark, tmp_path):
+    r = make(spark, tmp_path, {"u1": [OSError("down")]})
+    assert [x.http_request_id for x in r.log().where("event = 'error'").collect()] == ["r1"]
+
+    class Nothing(Requests):
+        id = "nothing"
+
+        def populate(self):
+            return self.spark.createDataFrame([], self.schema)
+
+    none = Nothing(spark, MAIN, str(tmp_path))
+    none.make(retries=2)
+    assert none.states().count() == 0 and none.summary() == {"total": 0, "failed": 0, "errors": "none"}
+
+
+def test_interrupted_agent_tasks_run_again(spark, tmp_path):
+    from pelorus.operators.ledger_tables import AGENT_TASKS, with_defaults
+
+    class Agents(waves.AgentLedger):
+        id, supported_versions, schema, rate = "agents", (MAIN,), AGENT_TASKS, 1e6
+
+        def populate(self):
+            return with_defaults(self.spark.createDataFrame([("a", "one"), ("b", None)], "agent_task_id string, task_prompt string"), self.schema, {})
+
+        def call(self, request):
+            if request.task_prompt is None:
+                raise ValueError
+            return {"final_response": "done", "messages": [("assistant", "done")]}
+
+    a = Agents(spark, MAIN, str(tmp_path))
+    a._append(a.populate(), "populate")
+    a._append(a.states().withColumn("started_at_utc", F.lit("2024-01-01").cast("timestamp_ntz")), "start")  # and then it crashed
+    a.execute()
+    rows = {x.agent_task_id: x for x in a.states().collect()}
+    assert not rows["a"].is_error and rows["a"].final_response == "done" and rows["b"].is_error and rows["b"].error_message == "ValueError"
+    assert [(m.agent_task_id, m.content) for m in a.child("messages").collect()] == [("a", "done")] and a.child("tool_calls").count() == 0
+    assert a.retry() is not None and a.current().count() == 2
+
+
 def test_predicates_on_unknown_status(spark):
     df = spark.createDataFrame([("a", 200, "t", None), ("b", 500, "t", None), ("c", None, None, None), ("d", 404, "t", "b"), ("e", None, "t", None)], "http_request_id string, response_status int, requested_at_utc string, superseded_by_id string")
 
