@@ -11,8 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: A fenced block, and an object in braces whose members hold at most one level of objects.
 _FENCED = re.compile(r"```(?:json)?\s*\n?(.*?)```", re.S)
-#: An object in braces whose members hold at most one level of objects.
 _BRACED = re.compile(r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}")
 
 
